@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints, packing, toxicity, urls
+from . import bpe, exact_dedup, fingerprints, html_wrappers, packing, toxicity, urls
 from .common import documents
 
 #: Fixed by the contract of op4.
@@ -38,6 +38,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 OP4_SQL = r"""
 WITH split AS (
   SELECT page_id,
@@ -73,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_url_filter": op4_url_filter,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_toxicity": op7_toxicity,
+        "op10_html_extraction": op10_html_extraction,
     }
 
 

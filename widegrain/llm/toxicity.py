@@ -41,7 +41,7 @@ LANGUAGE_LEAST = 8
 #: A language's threshold stays in this range.
 LANGUAGE_RANGE = (0.4, 0.9)
 #: Words whose projections a worker keeps.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 400_000
 
 
 def parts_of(word: str) -> tuple[int, ...]:
@@ -198,28 +198,57 @@ class Scorer:
     """Scores texts; keeps the projections of words it has met."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
-        self.table = np.zeros((1, sum(SPANS) * FILTERS), dtype=np.float32)
+        self.model = model
+        self._clear()
+
+    def _clear(self) -> None:
+        #: Rows of the table by token as it stands in texts, and by plain word; buckets by beginning.
+        self.known, self.plain = {"": 0}, {"": 0}
+        self.begun: list[dict[str, int]] = [{} for _ in PREFIXES]
+        self.table = np.zeros((4096, sum(SPANS) * FILTERS), dtype=np.float32)
+        self.used = 1
+
+    def _learn(self, tokens: list[str]) -> None:
+        plain_row, new, h = self.plain, [], xxhash.xxh32_intdigest
+        for token in tokens:
+            word = plain(token)
+            row = plain_row.get(word)
+            if row is None:
+                row = plain_row[word] = self.used + len(new)
+                new.append(word)
+            self.known[token] = row
+        if not new:
+            return
+        flat = [h(w.encode("utf-8", "surrogatepass"), seed=0) % (BUCKETS - 1) + 1 for w in new]
+        for k, (n, begun) in enumerate(zip(PREFIXES, self.begun, strict=True), 1):
+            if len(begun) > CACHE_WORDS:
+                begun.clear()
+            for w in new:
+                if len(w) < n:
+                    flat.append(0)
+                    continue
+                bucket = begun.get(w[:n])
+                if bucket is None:
+                    bucket = begun[w[:n]] = h(w[:n].encode("utf-8", "surrogatepass"), seed=k) % (BUCKETS - 1) + 1
+                flat.append(bucket)
+        while self.used + len(new) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        parts = np.array(flat).reshape(1 + len(PREFIXES), len(new)).T
+        self.table[self.used : self.used + len(new)] = self.model.projections(parts)
+        self.used += len(new)
 
     def logits(self, texts: list[str]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        if not known:
-            known[""] = 0
-            self.table = self.model.projections(np.array([parts_of("")])).astype(np.float32)
+        if len(self.known) > CACHE_WORDS:
+            self._clear()
         split = [t.lower().split() for t in texts]
-        new = list(set().union(*split).difference(known))
-        if new:
-            found = self.model.projections(np.array([parts_of(plain(w)) for w in new])).astype(np.float32)
-            known.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, found])
+        self._learn(list(set().union(*split).difference(self.known)))
+        of = self.known.__getitem__
         out, rows, starts, n = [], [], [], 0
         for words in split:
             starts.append(n)
-            rows.append(np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words)))
+            rows.append(np.fromiter(map(of, words), dtype=np.int64, count=len(words)))
             rows.append(np.zeros(len(PAD), dtype=np.int64))
             n += len(words) + len(PAD)
             if n > 50_000:

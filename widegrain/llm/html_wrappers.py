@@ -345,7 +345,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
                 yield out()
         yield out()
 
-    def merge(key, table: pa.Table) -> pa.Table:
+    def merge(key, table):
         whole = Wrapper()
         for raw in table.column("wrapper").to_pylist():
             whole.merge(Wrapper.load(raw))

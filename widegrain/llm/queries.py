@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, html_wrappers, jaccard_groups, packing, suffix_dedup, toxicity, urls
+from . import bpe, exact_dedup, fingerprints, html_wrappers, jaccard_groups, lm_score, packing, suffix_dedup, toxicity, urls
 from .common import documents
 
 #: Fixed by the contract of op4.
@@ -34,6 +35,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_report(documents(spark, sf_dir))
 
 
+def op6_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(documents(spark, sf_dir), F.coalesce(toxicity.remainder("doc_id", 7) == 2, F.lit(False)))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -104,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_byte_bpe": op3_byte_bpe,
         "op4_url_filter": op4_url_filter,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_ppm_score": op6_ppm_score,
         "op7_toxicity": op7_toxicity,
         "op8_jaccard_groups": op8_jaccard_groups,
         "op9_suffix_array_dedup": op9_suffix_array_dedup,

@@ -3,9 +3,10 @@
 Documents with equal sets form a class; what follows is about classes.  Similar
 classes are partitioned into groups: those that agree on a band of min-hashes
 meet, and each class is first held against the least class it meets.  What that
-links is contracted.  Of every such group, in blocks of bounded size, the
-members' tokens and their union are kept; a class that meets a group of another
-component is held against the union, which bounds its overlap with every
+links is contracted.  What still meets without being in one
+component is cut into groups of bounded size and like length, and of each group
+the union of its members' tokens is kept; a class that meets members of other
+components there is held against the union, which bounds its overlap with every
 member, and only a group that may qualify is opened and its members compared
 one by one.  Similarities are computed on the whole sets.
 
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, prepare, save, whole_text
@@ -150,28 +151,28 @@ def _compare(percent: int):
 
 
 def _open_groups(percent: int):
-    """Rows sorted by (block, salt, kind): first a block's members (kind 0), then the classes held against it."""
+    """Rows sorted by (group, salt, kind): first a group's members (kind 0), then the classes held against it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, members, union = None, [], None
         for b in batches:
             left, right = [], []
-            for comp, block, salt, kind, cid, raw in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
-                if (comp, block, salt) != at:
-                    at, members, union = (comp, block, salt), [], None
+            for *group, kind, cid, comp, raw in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
+                if group != at:
+                    at, members, union = group, [], None
                 tokens = np.frombuffer(raw, np.uint64)
                 if not kind:
-                    members.append((cid, tokens))
+                    members.append((cid, comp, tokens))
                     continue
                 if union is None:
-                    union = np.unique(np.concatenate([t for _, t in members])) if members else np.zeros(0, np.uint64)
+                    union = np.unique(np.concatenate([t for *_, t in members]))
                 # a member's intersection with it is at most its overlap with the union, and must reach percent of its size
                 k = np.searchsorted(union, tokens)
                 k[k == len(union)] = 0
-                if not len(union) or 100 * int((union[k] == tokens).sum()) < percent * len(tokens):
+                if 100 * int((union[k] == tokens).sum()) < percent * len(tokens):
                     continue
-                for other, theirs in members:
-                    if similar(tokens, theirs, percent):
+                for other, its, theirs in members:
+                    if its != comp and similar(tokens, theirs, percent):
                         left.append(cid)
                         right.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
@@ -200,29 +201,26 @@ def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     links = save(heads.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_compare(percent), "a long, b long"), "head-links")
     labels = components(links)
 
-    # groups in which several components meet
+    # bands in which several components meet
     named = met.select("band", "cid", "n").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    parts = named.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("low"), F.max("n").alias("high"))
-    mixed = parts.groupBy("band").agg(F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    named = save(named.join(mixed, "band").select("band", "cid", "n", "comp"), "mixed")
-    parts = named.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("low"), F.max("n").alias("high"))
-    # a class asks the groups that are larger in its band than its own, or equal and named lower
-    mine = parts.select("band", F.col("comp").alias("own"), F.col("k").alias("own_k"))
-    asks = mine.join(parts, "band").where("own <> comp").where("k > own_k OR (k = own_k AND comp < own)").select("band", "own", "comp", "low", "high")
-    asking = named.withColumnRenamed("comp", "own").join(asks, ["band", "own"]).where(F.expr(f"100 * high >= {percent} * n AND {percent} * low <= 100 * n")).select("cid", "comp").distinct()
-    asking = save(asking, "asking")
-
-    members = named.select("comp", "cid").distinct().join(asking.select("comp").distinct(), "comp", "left_semi")
-    sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    blocks = members.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / MEMBERS))).select("comp", "block", "cid")
-    turns = asking.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("turns"))
-    inside = blocks.join(turns, "comp").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).select("comp", "block", "salt", F.lit(0).alias("kind"), "cid")
-    queries = asking.join(turns, "comp").withColumn("salt", F.pmod(F.xxhash64("cid"), F.col("turns")))
-    queries = queries.join(sizes, "comp").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / MEMBERS) - 1))).select("comp", "block", "salt", F.lit(1).alias("kind"), "cid")
-    matrix = inside.unionByName(queries).join(sets, "cid").select("comp", "block", "salt", "kind", "cid", "tokens")
-    matrix = matrix.repartition(partitions(spark), "comp", "block", "salt").sortWithinPartitions("comp", "block", "salt", "kind")
-    more = matrix.mapInArrow(_open_groups(percent), "a long, b long")
-    more = save(more, "group-links")
+    per = named.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"))
+    mixed = per.groupBy("band").agg(F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    # groups: blocks of members of like size; a large component of a band has blocks of its own
+    named = named.join(mixed, "band").join(per, ["band", "comp"]).withColumn("of", F.when(F.col("k") > MEMBERS, F.col("comp")).otherwise(F.lit(-(1 << 63))))
+    nth = F.row_number().over(Window.partitionBy("band", "of").orderBy("n", "cid")) - 1
+    named = save(named.select("band", "of", F.floor(nth / MEMBERS).alias("block"), "cid", "n", "comp"), "blocks")
+    group = ["band", "of", "block"]
+    blocks = named.groupBy(*group).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    # a class asks its own block and those behind it, unless all there are of its component or none is of fitting size
+    asking = named.select("band", F.struct("of", "block").alias("own"), "cid", "n", "comp").join(blocks, "band").where(F.struct("of", "block") >= F.col("own"))
+    asking = asking.where("NOT (c0 = comp AND c1 = comp)").where(F.expr(f"100 * high >= {percent} * n AND {percent} * low <= 100 * n"))
+    asking = save(asking.select(*group, "cid", "comp"), "asking")
+    turns = asking.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("turns"))
+    inside = named.join(turns, group).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).select(*group, "salt", F.lit(0).alias("kind"), "cid", "comp")
+    queries = asking.join(turns, group).withColumn("salt", F.pmod(F.xxhash64("cid"), F.col("turns"))).select(*group, "salt", F.lit(1).alias("kind"), "cid", "comp")
+    matrix = inside.unionByName(queries).join(sets, "cid").select(*group, "salt", "kind", "cid", "comp", "tokens")
+    matrix = matrix.repartition(partitions(spark), *group, "salt").sortWithinPartitions(*group, "salt", "kind")
+    more = save(matrix.mapInArrow(_open_groups(percent), "a long, b long").distinct(), "group-links")
 
     if not more.isEmpty():
         labels = components(links.unionByName(more))

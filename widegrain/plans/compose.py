@@ -37,8 +37,10 @@ def is_noise(column: str) -> bool:
 
 
 def offered(table: TableDef, graph: SchemaGraph, *, without_key: bool, without_foreign: bool = True) -> list[ColumnDef]:
-    """Columns of a table that can become fields."""
-    hidden = graph.key_columns(table.name) if without_foreign else set()
+    """Columns of a table that can become fields.
+
+    A reference to a virtual dimension stays: its key is all that there is to say."""
+    hidden = {c.lower() for e in graph.outgoing(table.name) if not graph.catalog.table(e.parent).is_virtual for c in e.child_cols} if without_foreign else set()
     if without_key:
         hidden = hidden | {c.lower() for c in table.primary_key}
     return [c for c in table.columns if not is_noise(c.name) and c.name.lower() not in hidden]

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch.  Texts may be long, so batches are kept short.
-ARROW_ROWS = 512
+#: Rows and bytes of one Arrow batch at most.  Texts may be long, so batches are kept small.
+ARROW_ROWS, ARROW_BYTES = 2_048, 8 << 20
 
 _written: list[str] = []
 
@@ -17,6 +17,7 @@ _written: list[str] = []
 def prepare(spark: SparkSession) -> None:
     """Session settings that the Python stages of these operators rely on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,11 +38,15 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def save(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read again."""
+    """Cut the lineage: write to the shared folder and read again.
+
+    The shuffle files of what has been cut go when the driver's JVM collects its
+    garbage, so it is asked to."""
     spark = df.sparkSession
     at = new_path(spark, tag)
     schema = df.schema
     df.write.parquet(at)
+    spark._jvm.System.gc()
     return spark.read.schema(schema).parquet(at)
 
 
@@ -64,3 +69,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def whole_text(name: str = "text"):
     """A null text counts as an empty one."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """All columns as one, __doc, so that what an operator adds can't clash with their names."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc"))
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    return df.select("__doc.*")

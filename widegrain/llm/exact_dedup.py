@@ -21,7 +21,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, save, whole_text
+from .common import new_path, packed, save, unpacked, whole_text
 
 #: State in RocksDB, whose memory is bounded for each executor.
 STATE = {
@@ -107,7 +107,6 @@ def dedup_report(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns."""
-    names = docs.columns
     kept = _decisions(docs).where("kept").select(F.col("locator").alias("__keep"))
-    keyed = docs.withColumn("__locator", F.monotonically_increasing_id())
-    return keyed.join(kept, keyed["__locator"] == kept["__keep"], "left_semi").select(*names)
+    scanned = packed(docs).withColumn("__locator", F.monotonically_increasing_id())
+    return unpacked(scanned.join(kept, F.col("__locator") == F.col("__keep"), "left_semi"))

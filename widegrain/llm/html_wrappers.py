@@ -8,11 +8,11 @@ slot, and one that all pages share stays fixed.  A wrapper has no alternatives,
 so wrappers of parts of a host can be aligned with each other as pages are, and
 each task folds its pages before anything is shuffled.
 
-Extraction walks a page beside its host's wrapper.  The wrapper tells where the
-article is (its article or main region, else all text that isn't marked as
-something else) and which texts inside it are fixed on all pages; regions whose
-tag, class, id or role marks them as menus, headers, footers, sidebars, notices,
-adverts, forms or comments are left out.
+Extraction walks a page beside its host's wrapper.  The article is what stands
+in the article or main region; a page without one gives all text that its
+host's wrapper doesn't fix for all pages.  Regions whose tag, class, id or role
+marks them as menus, headers, footers, sidebars, notices, adverts, forms or
+comments are left out.
 
 Defined cases: null html gives an empty text; a null url, and one without
 "://", has the empty host; cut-off pages are closed where they end, an unclosed
@@ -49,7 +49,7 @@ ASIDE_TAGS = frozenset("nav footer aside form head menu dialog fieldset header".
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login menu navbar navigation nav breadcrumb breadcrumbs sidebar aside widget related recommended share sharing social footer header masthead topbar toolbar comment comments commentlist reply replies disqus respond complementary contentinfo search skip pagination pager toc".split()
 )
-#: Pages of a host from which on a fixed text inside the article counts as the host's own.
+#: Pages of a host from which on a text that all of them share counts as the host's own.
 FIXED_LEAST = 8
 #: Hosts that a task folds at once.
 HOSTS_AT_ONCE = 2_000
@@ -198,14 +198,26 @@ def render(children: list) -> str:
 
 
 def read_page(source: str) -> tuple[list, dict[str, int], list[str]]:
-    """(tree, hash of the text at each path or 0 where several differ, paths of article regions)."""
+    """(tree, hash of the text of the blocks at each path or 0 where several differ, paths of article regions)."""
     root: list = []
     stack, path = [root], []
     texts: dict[str, int] = {}
     articles: dict[str, None] = {}
     aside = 0
     marks: list[bool] = []
+    parts: list[str] = []
+
+    def end_block():
+        text = _SPACE.sub(" ", "".join(parts)).strip()
+        parts.clear()
+        if text:
+            at, h = block_path(path), xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass")) or 1
+            if texts.setdefault(at, h) != h:
+                texts[at] = 0
+
     for kind, value, is_aside, is_article in events(source):
+        if kind in ("open", "close") and value.split(".", 1)[0] in BLOCK:
+            end_block()
         if kind == "open":
             node = [value, "1", []]
             stack[-1].append(node)
@@ -223,12 +235,18 @@ def read_page(source: str) -> tuple[list, dict[str, int], list[str]]:
         elif kind == "text" and not aside and not value.isspace():
             if not stack[-1] or stack[-1][-1][0] != "#":
                 stack[-1].append(["#", "1", []])
-            at, h = "/".join(path), xxhash.xxh32_intdigest(_SPACE.sub(" ", value).strip().encode("utf-8", "surrogatepass")) or 1
-            if texts.setdefault(at, h) != h:
-                texts[at] = 0
+        if kind == "text" and not aside:
+            parts.append(value)
+    end_block()
     return fold(root), texts, list(articles)
 
 
+def block_path(path: list[str]) -> str:
+    """Labels down to the innermost block."""
+    n = next((k for k in range(len(path), 0, -1) if path[k - 1].split(".", 1)[0] in BLOCK), 0)
+    return "/".join(path[:n])
+
+
 class Wrapper:
     """What is known of a host: the expression, its fixed texts and where articles are."""
 
@@ -268,18 +286,17 @@ class Wrapper:
         return Wrapper(*json.loads(raw))
 
     def fixed(self) -> frozenset[str]:
-        """Paths inside articles whose text all pages share, where other texts differ."""
+        """Paths outside articles whose text all pages share, where other texts there differ."""
         if self.pages < FIXED_LEAST:
             return frozenset()
-        inside = [p for p in self.texts if any(p == a or p.startswith(a + "/") for a in self.articles)]
-        return frozenset(p for p in inside if self.texts[p]) if any(not self.texts[p] for p in inside) else frozenset()
+        outside = [p for p in self.texts if not any(p == a or p.startswith(a + "/") for a in self.articles)]
+        return frozenset(p for p in outside if self.texts[p]) if any(not self.texts[p] for p in outside) else frozenset()
 
 
 def extract(source: str, wrapper: Wrapper | None) -> str:
     """The main text of a page: blocks in page order, joined by line feeds."""
     fixed = wrapper.fixed_paths if wrapper is not None else frozenset()
-    regional = bool(wrapper is not None and wrapper.articles)
-    blocks: list[tuple[bool, str]] = []
+    blocks: list[tuple[bool, bool, str]] = []
     path: list[str] = []
     marks: list[tuple[bool, bool]] = []
     aside = article = 0
@@ -291,11 +308,11 @@ def extract(source: str, wrapper: Wrapper | None) -> str:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                blocks.append((inside, text))
+                blocks.append((inside, not inside and bool(fixed) and block_path(path) in fixed, text))
 
     for kind, value, is_aside, is_article in events(source):
         if kind == "text":
-            if not aside and not (fixed and "/".join(path) in fixed):
+            if not aside:
                 inside = bool(article)
                 parts.append(value)
             continue
@@ -318,8 +335,8 @@ def extract(source: str, wrapper: Wrapper | None) -> str:
             aside -= a
             article -= b
     flush()
-    kept = [t for i, t in blocks if i]
-    return "\n".join(kept if kept or (regional and any(i for i, _ in blocks)) else [t for _, t in blocks])
+    kept = [t for i, _, t in blocks if i]
+    return "\n".join(kept or [t for _, host_own, t in blocks if not host_own])
 
 
 # --- distributed -------------------------------------------------------------

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, prepare, save, whole_text
+from .common import packed, partitions, prepare, save, unpacked, whole_text
 from .components import components
 
 BANDS = 50
@@ -245,5 +245,5 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     named = rows.where("n_shingles > 0").select("row", "doc_id", "sig").join(classes.select("sig", "comp"), "sig")
     heads = named.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head")).select(F.col("head.row").alias("__row"))
     stay = heads.unionByName(rows.where("n_shingles = 0").select(F.col("row").alias("__row")))
-    names = docs.columns
-    return docs.withColumn("__scan", F.monotonically_increasing_id()).join(stay, F.col("__scan") == F.col("__row"), "left_semi").select(*names)
+    scanned = packed(docs).withColumn("__scan", F.monotonically_increasing_id())
+    return unpacked(scanned.join(stay, F.col("__scan") == F.col("__row"), "left_semi"))

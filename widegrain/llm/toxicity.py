@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, whole_text
+from .common import packed, prepare, unpacked, whole_text
 
 #: The sample for training: at most so many documents of each label, chosen by a hash of doc_id, of at most so many characters each.
 SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_CHARS = 2_000, 4_000, 20_000
@@ -351,10 +351,10 @@ def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows whose score stays below the threshold of their language, with all their columns."""
     spark = docs.sparkSession
     prepare(spark)
-    names = docs.columns
     model = train(docs, labels)
     score = score_column(spark.sparkContext.broadcast(model))
     limit = F.lit(CUT)
-    for lang, at in model.thresholds.items():
-        limit = F.when(F.col("lang") == lang, F.lit(at)).otherwise(limit)
-    return docs.withColumn("__score", score(whole_text())).where(F.col("__score") < limit).select(*names)
+    if "lang" in docs.columns:
+        for lang, at in model.thresholds.items():
+            limit = F.when(F.col("__doc.lang") == lang, F.lit(at)).otherwise(limit)
+    return unpacked(packed(docs).withColumn("__score", score(whole_text("__doc.text"))).where(F.col("__score") < limit))

@@ -320,14 +320,14 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, doc_id, out, text in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
             found, raw = modelled(text)
             tally = Counter(found)
-            new = tally.keys() - number.keys()
+            new = [w for w in tally if w not in number]
             if number and len(number) + len(new) > BLOCK_WORDS:
                 if cols[0]:
                     yield _rows(len(cols[0]), kind=[DOC] * len(cols[0]), **dict(zip(("block", "row", "doc_id", "held_out", "n_tokens", "payload"), cols, strict=True)))
                     cols = [[] for _ in range(6)]
                 yield from words()
                 block, number, counts = block + 1, {}, np.zeros(BLOCK_WORDS, dtype=np.int64)
-                new = tally.keys()
+                new = list(tally)
             for w in new:
                 number[w] = len(number)
             if len(number) > len(counts):  # one text with more words than a block has room for

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.joinplan import Child, Hop, JoinPlan, bind_condition, condition_columns
+from ..plans.joinplan import Child, JoinPlan, bind_condition, condition_columns
 from ..plans.sqlscan import QueryError
 from ..types import Catalog, Step
 
@@ -26,10 +26,6 @@ def _col(alias: str, column: str):
     return F.col(f"`{_name(alias, column)}`")
 
 
-def _derived(alias: str, step: Step, k: int) -> str:
-    return f"{alias}__key{k}_{step.target.lower()}"
-
-
 class _Frames:
     """Tables of a plan, each projected to what is asked of it."""
 
@@ -138,6 +134,3 @@ def _group(df: DataFrame, frames: _Frames, plan: JoinPlan) -> DataFrame:
     counts = [F.countDistinct(*(_col("base", c) for c in columns)).alias(n) for n, columns in plan.distinct]
     groups = [_col(a, c).alias(n) for a, c, n in plan.outputs]
     return df.groupBy(*groups).agg(*counts) if counts else df.select(*groups).distinct()
-
-
-__all__ = ["Hop", "build", "fold_child"]

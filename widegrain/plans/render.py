@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..types import Catalog, Step
 from .joinplan import Child, JoinPlan, bind_condition
 
@@ -12,8 +14,6 @@ def q(name: str) -> str:
 
 def _qualify(expression: str, alias: str, catalog: Catalog, table: str) -> str:
     """Columns of a table in an expression, with its alias."""
-    import re
-
     names = sorted(catalog.table(table).column_names, key=len, reverse=True)
     return re.sub(r"(?<![\w`.'])(" + "|".join(map(re.escape, names)) + r")(?![\w`('])", lambda m: f"{q(alias)}.{q(m[1])}", expression, flags=re.I)
 

@@ -18,6 +18,11 @@ def _step(s: Step) -> dict:
     return {"child": e.child, "child_cols": list(e.child_cols), "parent": e.parent, "parent_cols": list(e.parent_cols), "forward": s.forward, "inferred": e.inferred, "confidence": e.confidence, "key_exprs": list(e.key_exprs), "condition": e.condition}
 
 
+def _dtype(text: str) -> T.DataType:
+    """A type from its JSON: a struct with it as its only field reads it back."""
+    return T.StructType.fromJson({"type": "struct", "fields": [{"name": "x", "type": json.loads(text), "nullable": True, "metadata": {}}]})["x"].dataType
+
+
 def to_dict(layer: Layer) -> dict:
     field = lambda f: {"name": f.name, "type": f.dtype.json(), "description": f.description, "filter_only": f.filter_only, "kind": f.source.kind.value, "table": f.source.table, "column": f.source.column, "aggregate": f.source.aggregate, "path": [_step(s) for s in f.source.path]}
     return {"version": VERSION, "table_count": layer.table_count, "covered_count": layer.covered_count, "stop_reason": layer.stop_reason, "selector": layer.selector, "notes": list(layer.notes), "models": [{"name": m.name, "base": m.base, "absorbed": list(m.absorbed), "description": m.description, "fields": [field(f) for f in m.fields]} for m in layer.models]}
@@ -29,7 +34,7 @@ def from_dict(raw: dict) -> Layer:
 
     def field(f: dict) -> LogicalField:
         path = tuple(Step(Edge(s["child"], tuple(s["child_cols"]), s["parent"], tuple(s["parent_cols"]), s["inferred"], s["confidence"], tuple(s["key_exprs"]), s["condition"]), s["forward"]) for s in f["path"])
-        return LogicalField(f["name"], T.DataType.fromJson(json.loads(f["type"])) if hasattr(T.DataType, "fromJson") else T._parse_datatype_json_string(f["type"]), FieldSource(FieldKind(f["kind"]), f["table"], f["column"], path, f["aggregate"]), f["description"], f["filter_only"])
+        return LogicalField(f["name"], _dtype(f["type"]), FieldSource(FieldKind(f["kind"]), f["table"], f["column"], path, f["aggregate"]), f["description"], f["filter_only"])
 
     models = tuple(LogicalModel(m["name"], m["base"], tuple(map(field, m["fields"])), tuple(m["absorbed"]), m["description"]) for m in raw["models"])
     return Layer(models, raw["table_count"], raw["covered_count"], raw["stop_reason"], raw["selector"], tuple(raw["notes"]))

@@ -177,7 +177,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
         bpe, cached = encoder(ranks_path, pattern)
         for batch in batches:
             rows = []
-            for doc_id, raw in zip(batch.column(0).to_pylist(), cached.raw_many(batch.column(1).to_pylist()), strict=True):
+            for doc_id, raw in zip(batch.column(0).to_pylist(), cached.raw_many(batch.column(1)), strict=True):
                 ids = np.frombuffer(raw, dtype="<u4").tolist()
                 row = (doc_id, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest())
                 rows.append((*row, ids) if with_ids else row)

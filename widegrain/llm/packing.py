@@ -34,7 +34,7 @@ from .common import prepare, save, whole_text
 
 END_ID = 2
 #: Words given to the tokenizer in one text.
-JOINED = 256
+JOINED = 1_024
 CAPACITY = 1024
 
 
@@ -138,23 +138,24 @@ def _tokenizer(path: str, pattern: str) -> CachedEncoder:
     t.encode_special_tokens = True
 
     def encode(matches: list[str]) -> list[bytes]:
-        spaced = [m for m in matches if m[0] == " " and m[1:].isalpha()]
-        known = {}
-        for k in range(0, len(spaced), JOINED):
-            # words behind a space stay words of their own when joined: one call for many
-            words = spaced[k : k + JOINED]
-            found = t.encode("".join(words), add_special_tokens=False)
-            ids, of = np.array(found.ids, dtype="<u4"), np.array(found.word_ids)
-            if of[-1] + 1 != len(words):
+        return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in t.encode_batch_fast(matches, add_special_tokens=False)]
+
+    def encode_words(words: list[str]) -> list[bytes]:
+        # words behind a space stay words of their own when joined: one call for many
+        out: list[bytes] = []
+        for k in range(0, len(words), JOINED):
+            some = words[k : k + JOINED]
+            found = t.encode(" " + " ".join(some), add_special_tokens=False)
+            of = np.array(found.word_ids)
+            if of[-1] + 1 != len(some):
+                out += encode([" " + w for w in some])
                 continue
-            ends = np.searchsorted(of, np.arange(len(words)), side="right").tolist()
-            raw = ids.tobytes()
-            known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(words, [0, *ends], ends, strict=False))
-        rest = [m for m in matches if m not in known]
-        known.update((m, struct.pack(f"<{len(x.ids)}I", *x.ids)) for m, x in zip(rest, t.encode_batch_fast(rest, add_special_tokens=False), strict=True))
-        return [known[m] for m in matches]
+            raw = np.array(found.ids, dtype="<u4").tobytes()
+            ends = (4 * np.searchsorted(of, np.arange(len(some)), side="right")).tolist()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
 
-    return CachedEncoder(pattern, encode)
+    return CachedEncoder(pattern, encode, encode_words)
 
 
 _encoders: dict[tuple[str, str], CachedEncoder] = {}
@@ -167,7 +168,7 @@ def _pieces(path: str, pattern: str, capacity: int):
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             cols: list[list] = [[] for _ in PIECES]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.raw_many(batch.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.raw_many(batch.column(1)), strict=True):
                 raw = memoryview(ids + _END)
                 for k, (start, length) in enumerate(cut(len(raw) // 4, capacity)):
                     for c, v in zip(cols, (doc_id, k, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), part, seen[length]), strict=True):

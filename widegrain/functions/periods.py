@@ -1,4 +1,4 @@
-"""Expressions over period strings and timestamps, all of Spark's own functions."""
+"""Period keys of timestamps, by Spark's own functions."""
 
 from __future__ import annotations
 
@@ -6,19 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def month_of_day(day: Column) -> Column:
-    """YYYYMMDD to YYYYMM."""
-    return F.substring(day, 1, 6)
-
-
-def month_key(time: Column) -> Column:
+def month_key(time: str | Column) -> Column:
+    """YYYYMM."""
     return F.date_format(time, "yyyyMM")
 
 
-def day_key(time: Column) -> Column:
+def day_key(time: str | Column) -> Column:
+    """YYYYMMDD."""
     return F.date_format(time, "yyyyMMdd")
-
-
-def safe_ratio(a: Column, b: Column) -> Column:
-    """a / b, null where b is 0."""
-    return F.when(b != 0, a / b)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import WideLayer, wide_layer
+from .functions.periods import day_key, month_key
 from .graph import SchemaGraph
 from .operators import probe
 from .operators.equivalence import find_equivalents
@@ -121,9 +122,9 @@ def composite_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _periods(spark: SparkSession, sf_dir: str) -> Catalog:
     base = star_schema(spark, sf_dir)
-    orders = base.table("orders").frame(spark).select("o_orderkey", "o_custkey", "o_totalprice", F.date_format("o_orderdate", "yyyyMM").alias("YYYYMM"))
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value", F.date_format("ts", "yyyyMMdd").alias("YYYYMMDD"))
-    lines = base.table("lineitem").frame(spark).select("l_orderkey", "l_partkey", "l_quantity", F.date_format("l_shipdate", "yyyyMMdd").alias("YYYYMMDD"))
+    orders = base.table("orders").frame(spark).select("o_orderkey", "o_custkey", "o_totalprice", month_key("o_orderdate").alias("YYYYMM"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value", day_key("ts").alias("YYYYMMDD"))
+    lines = base.table("lineitem").frame(spark).select("l_orderkey", "l_partkey", "l_quantity", day_key("l_shipdate").alias("YYYYMMDD"))
     catalog = _with(Catalog(tuple(t for t in base.tables if t.name in ("customer", "part")), ()), {"f_orders": orders, "f_events": events, "f_lines": lines}, {"f_orders": ("o_orderkey",), "f_events": ("event_id",)}, (Edge("f_orders", ("o_custkey",), "customer", ("c_custkey",)), Edge("f_lines", ("l_partkey",), "part", ("p_partkey",))))
     return add_monthly_summaries(add_period_anchor(catalog))
 
@@ -173,7 +174,7 @@ def link_axis_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _slices(spark: SparkSession, sf_dir: str) -> Catalog:
     base = star_schema(spark, sf_dir)
-    lines = base.table("lineitem").frame(spark).select("l_orderkey", "l_partkey", "l_quantity", F.date_format("l_shipdate", "yyyyMM").alias("m"))
+    lines = base.table("lineitem").frame(spark).select("l_orderkey", "l_partkey", "l_quantity", month_key("l_shipdate").alias("m"))
     frames = {f"F_LINES_{m}": lines.where(F.col("m") == m).drop("m") for m in ("199601", "199602", "199603")}
     return _with(base, frames, {n: ("l_orderkey",) for n in frames}, tuple(Edge(n, ("l_partkey",), "part", ("p_partkey",)) for n in frames))
 
@@ -378,7 +379,7 @@ def streamed_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(table.schema).option("pathGlobFilter", file if file == "events.parquet" else "*.parquet").parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
     query = rollup(stream, "ts", ["event_type"], ["value"]).writeStream.format("memory").queryName("widegrain_rollup").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table("widegrain_rollup").select(F.date_format("window_start", "yyyyMMdd").alias("day"), "event_type", F.round("value", 2).alias("value"), "row_count")
+    return spark.table("widegrain_rollup").select(day_key("window_start").alias("day"), "event_type", F.round("value", 2).alias("value"), "row_count")
 
 
 FRAMES: dict[str, tuple[Query, str | None]] = {

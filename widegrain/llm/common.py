@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,9 @@ from pyspark.sql import functions as F
 #: Rows and bytes of one Arrow batch at most.  Texts may be long, so batches are kept small.
 ARROW_ROWS, ARROW_BYTES = 2_048, 8 << 20
 
-_written: list[str] = []
+#: Folders written so far, by scope; those outside any scope are under None.
+_written: dict[str | None, list[str]] = {}
+_scope: list[str | None] = [None]
 
 
 def prepare(spark: SparkSession) -> None:
@@ -33,28 +37,47 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, tag: str) -> str:
     at = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    _written.append(at)
+    _written.setdefault(_scope[-1], []).append(at)
     return at
 
 
+@contextmanager
+def scope(name: str):
+    """What is written inside can be released together."""
+    _scope.append(name)
+    try:
+        yield
+    finally:
+        _scope.pop()
+
+
+def _collect_garbage(spark: SparkSession) -> None:
+    """The first pass finds what the job has left, the second what only that held."""
+    for _ in range(2):
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        spark._jvm.System.gc()
+        time.sleep(0.1)
+
+
 def save(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read again.
 
     The shuffle files of what has been cut go when the driver's JVM collects its
-    garbage, so it is asked to."""
+    garbage, so it is asked to; a long driver would otherwise keep them all."""
     spark = df.sparkSession
     at = new_path(spark, tag)
     schema = df.schema
-    df.write.parquet(at)
-    spark._jvm.System.gc()
+    df.write.option("compression", "zstd").parquet(at)
+    del df
+    _collect_garbage(spark)
     return spark.read.schema(schema).parquet(at)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what save() has written; call it when the results have been used."""
+def release(spark: SparkSession, name: str | None = None) -> None:
+    """Delete what has been written in a scope; call it when the results that read it have been used."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for at in _written.pop(name, []):
+        path = jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(conf).delete(path, True)
 
 

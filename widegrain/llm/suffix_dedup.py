@@ -34,20 +34,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, prepare, save, whole_text
+from .common import packed, partitions, prepare, save, unpacked, whole_text
 
 LENGTH = 200
 GRAM = 16
 #: Grams of one string.
 SPAN = LENGTH - GRAM + 1
 #: Bytes of a symbol of the suffix array.
-SYMBOL = 8
+SYMBOL = 16
 #: Whole blocks that every string holds, whatever its place among them.
 CORE = LENGTH // SYMBOL - 1
 #: Strings that are begun in one block of a long text.
 PIECE = 1 << 23
 #: Segments of one part of a group; symbols of one suffix array.
-SEGMENTS, SYMBOLS = 2_048, 60_000
+SEGMENTS, SYMBOLS = 32_768, 40_000
 
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -191,41 +191,61 @@ def repeated_strings(segments: list[tuple[bytes, int, int]]) -> tuple[list[np.nd
     Also, for the exchange between parts of a group: for each string the number
     of its content, and the first string with each content."""
     counts = np.array([len(s) - LENGTH + 1 for s, _, _ in segments])
+    lengths = np.array([len(s) for s, _, _ in segments])
+    begins = np.cumsum(lengths) - lengths
+    data = np.frombuffer(b"".join(s for s, _, _ in segments) + bytes(16), dtype=np.uint8).astype(np.uint64)
+    # eight bytes from each place on as one number
+    word = data[:-7].copy()
+    for k in range(1, 8):
+        word |= data[k : len(data) - 7 + k] << np.uint64(8 * k)
     # blocks of all segments, each followed by a separator of its own
-    symbols, starts, begun = [], [], 0
-    for raw, offset, _ in segments:
-        lead = offset % SYMBOL
-        starts.append((begun, lead))
-        symbols.append(np.frombuffer(raw[lead : lead + (len(raw) - lead) // SYMBOL * SYMBOL], dtype="<u8"))
-        begun += len(symbols[-1]) + 1
-    values, rank = np.unique(np.concatenate(symbols), return_inverse=True)
-    seq, at = [], 0
-    for k, s in enumerate(symbols):
-        seq.append(rank[at : at + len(s)] + len(segments))
-        seq.append(np.array([k]))
-        at += len(s)
-    seq = np.concatenate(seq)
+    leads = np.array([o for _, o, _ in segments]) % SYMBOL
+    blocks = (lengths - leads) // SYMBOL
+    first = np.cumsum(blocks + 1) - (blocks + 1)
+    own = np.repeat(np.arange(len(segments)), blocks + 1)
+    nth = np.arange(len(own)) - first[own]
+    real = nth < blocks[own]
+    at = np.where(real, begins[own] + leads[own] + SYMBOL * nth, 0)
+    halves = [np.where(real, word[at + 8 * j], own.astype(np.uint64)) for j in range(SYMBOL // 8)]
+    digest = np.zeros(len(own), dtype=np.uint64)
+    for h in halves:
+        digest = _mix(digest + h)
+    _, rank = np.unique(digest[real], return_inverse=True)
+    seq = own.copy()
+    seq[real] = rank + len(segments)
     sa = np.array(suffix_array(seq.tolist()), dtype=np.int64)
-    padded = np.concatenate([seq, np.full(CORE, -1)])
+    kind = np.concatenate([real, np.zeros(CORE, bool)])
+    padded = [np.concatenate([h, np.zeros(CORE, np.uint64)]) for h in halves]
     same = np.ones(len(sa) - 1, dtype=bool)
     for k in range(CORE):
-        same &= padded[sa[1:] + k] == padded[sa[:-1] + k]
+        x, y = sa[1:] + k, sa[:-1] + k
+        same &= kind[x] & kind[y]
+        for h in padded:
+            same &= h[x] == h[y]
     run = np.empty(len(sa), dtype=np.int64)
     run[sa] = np.cumsum(np.append(0, ~same))
     # every string: the run of its first whole block, its bytes before that block and after the core
     which = np.repeat(np.arange(len(segments)), counts)
     p = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    lead = np.array([x for _, x in starts])[which]
-    q = -(-(p - lead) // SYMBOL)
-    before = lead + SYMBOL * q - p
-    block = np.array([x for x, _ in starts])[which] + q
-    data = np.frombuffer(b"".join(s for s, _, _ in segments), dtype=np.uint8)
-    base = (np.cumsum([0] + [len(s) for s, _, _ in segments[:-1]])[which] + p)[:, None]
-    t = np.arange(SYMBOL)
-    rest = data[base + np.where(t < before[:, None], t, t + CORE * SYMBOL)].copy().view("<u8").ravel()
-    place = run[block] * SYMBOL + before
-    order = np.lexsort((rest, place))
-    new = np.append(True, (place[order][1:] != place[order][:-1]) | (rest[order][1:] != rest[order][:-1]))
+    q = -(-(p - leads[which]) // SYMBOL)
+    before = leads[which] + SYMBOL * q - p
+    key = (run[first[which] + q] * SYMBOL + before).astype(np.uint64)
+    start = begins[which] + p
+    parts = [key]
+    for k in range((LENGTH - CORE * SYMBOL) // 8):
+        # bytes 8k.. of those outside the core: in front of it, then behind it
+        ahead = np.clip(before - 8 * k, 0, 8).astype(np.uint64)
+        mask = np.where(ahead == 8, ~np.uint64(0), (np.uint64(1) << (np.uint64(8) * (ahead % np.uint64(8)))) - np.uint64(1))
+        parts.append((word[start + 8 * k] & mask) | (word[start + CORE * SYMBOL + 8 * k] & ~mask))
+    digest = np.zeros(len(key), dtype=np.uint64)
+    for x in parts:
+        digest = _mix(digest + x)
+    order = np.argsort(digest)
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = False
+    for x in parts:
+        y = x[order]
+        new[1:] |= y[1:] != y[:-1]
     content = np.empty(len(order), dtype=np.int64)
     content[order] = np.cumsum(new) - 1
     total = np.bincount(content, weights=np.array([c for _, _, c in segments])[which])
@@ -252,11 +272,11 @@ def _raw(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
-ANCHORS = "row long, doc_id long, n_bytes long, sha256 string, h array<long>, s array<long>, m array<int>, o array<int>"
+ANCHORS = "row long, doc_id long, n_bytes long, sha256 string, h array<long>, s array<int>, m array<int>, o array<int>"
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [pa.int64(), pa.string(), *map(pa.list_, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+    types = [pa.int64(), pa.string(), *map(pa.list_, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))]
     for b in batches:
         cols: list[list] = [[] for _ in types]
         for text in b.column("text").to_pylist():
@@ -267,30 +287,38 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["row", "doc_id", "n_bytes", "sha256", "h", "s", "m", "o"])
 
 
-def _cut(with_bytes: bool):
-    """(row, text, h, s, m, o) to segments: where they are, and their bytes if asked for."""
+def _segment_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, text, h, s, m, o) to segments: where each is, and a digest of its bytes and anchor offset."""
+    for b in batches:
+        cols: list[list] = [[] for _ in range(6)]
+        for row, text, hs, ss, ms, os_ in zip(*(b.column(k).to_pylist() for k in ("row", "text", "h", "s", "m", "o")), strict=True):
+            raw = _raw(text)
+            cols[0] += [row] * len(hs)
+            for c, v in zip(cols[1:5], (ss, ms, os_, hs), strict=True):
+                c += v
+            cols[5] += [xxhash.xxh3_128_digest(raw[s : s + m + LENGTH - 1], seed=o) for s, m, o in zip(ss, ms, os_, strict=True)]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["row", "s", "m", "o", "h", "key"])
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            for row, text, hs, ss, ms, os_ in zip(*(b.column(k).to_pylist() for k in ("row", "text", "h", "s", "m", "o")), strict=True):
-                raw = _raw(text)
-                for h, s, m, o in zip(hs, ss, ms, os_, strict=True):
-                    seg = raw[s : s + m + LENGTH - 1]
-                    key = xxhash.xxh3_128_digest(seg, seed=o)
-                    values = (h, key, seg, o) if with_bytes else (row, s, key)
-                    for c, v in zip(cols, values, strict=False):
-                        c.append(v)
-                if len(cols[0]) > 4_000:
-                    yield batch(cols)
-                    cols = [[] for _ in range(6)]
-            yield batch(cols)
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, at) to the segments that at lists, with their bytes."""
+    kinds = [("h", pa.int64()), ("part", pa.int64()), ("parts", pa.int64()), ("key", pa.binary()), ("seg", pa.binary()), ("o", pa.int32()), ("n", pa.int64())]
 
-    def batch(cols):
-        kinds = [("h", pa.int64()), ("key", pa.binary()), ("seg", pa.binary()), ("o", pa.int32())] if with_bytes else [("row", pa.int64()), ("s", pa.int64()), ("key", pa.binary())]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, kinds, strict=False)], names=[n for n, _ in kinds])
+    def made(cols):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, kinds, strict=True)], names=[n for n, _ in kinds])
 
-    return run
+    for b in batches:
+        cols: list[list] = [[] for _ in kinds]
+        for text, at in zip(b.column("text").to_pylist(), b.column("at").to_pylist(), strict=True):
+            raw = _raw(text)
+            for x in at:
+                for c, v in zip(cols, (x["h"], x["part"], x["parts"], x["key"], raw[x["s"] : x["s"] + x["m"] + LENGTH - 1], x["o"], x["n"]), strict=True):
+                    c.append(v)
+            if len(cols[0]) > 4_000:
+                yield made(cols)
+                cols = [[] for _ in kinds]
+        yield made(cols)
 
 
 def _judge_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,56 +361,60 @@ def _judge_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield flush()
 
 
-def _spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, repeats): row, doc_id, n_bytes, sha256 of every text; row, text and its repeated spans where there are any."""
+def _spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, found, spans): row, doc_id, n_bytes, sha256 of every text; row and text where an anchor is repeated; row and repeated spans where there are any."""
     spark = docs.sparkSession
     prepare(spark)
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     rows = save(texts.mapInArrow(_anchor_rows, ANCHORS), "anchors")
     each = rows.select("row", F.posexplode("h").alias("k", "h"))
-    often = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    some = each.join(often, "h", "left_semi").groupBy("row").agg(F.collect_list("k").alias("ks"))
+    often = save(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "anchors-often")
+    some = save(each.join(often, "h", "left_semi").groupBy("row").agg(F.collect_list("k").alias("ks")), "anchors-kept")
     pick = lambda c: F.transform("ks", lambda k: F.col(c)[k]).alias(c)
     chosen = rows.select("row", "h", "s", "m", "o").join(some, "row").select("row", *map(pick, "hsmo"))
     found = save(texts.select("row", "text").join(chosen, "row"), "anchored")
 
-    segments = found.mapInArrow(_cut(True), "h long, key binary, seg binary, o int").groupBy("h", "key").agg(F.count(F.lit(1)).alias("n"), F.min("seg").alias("seg"), F.min("o").alias("o"))
-    segments = save(segments, "segments")
+    keyed = found.mapInArrow(_segment_keys, "row long, s int, m int, o int, h long, key binary")
+    # equal segments are one; any of their places will do
+    segments = save(keyed.groupBy("h", "key").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("row", "s", "m", "o"))), "segments")
     groups = segments.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.sum((F.col("n") == 1).cast("int")).alias("once"))
-    easy = segments.where("n > 1").select("key", F.lit(0).alias("first"), (F.length("seg") - (LENGTH - 1)).alias("last"))
+    easy = segments.where("n > 1").select("key", F.lit(0).alias("first"), F.col("m").alias("last"))
     hard = segments.join(groups.where("size > 1 AND once > 0").select("h", F.ceil(F.col("size") / SEGMENTS).alias("parts")), "h")
-    hard = hard.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts"))).select("h", "part", "parts", "key", "seg", "o", "n")
-    judged = hard.repartition(partitions(spark), "h", "part").sortWithinPartitions("h", "part").mapInArrow(_judge_groups, "key binary, first int, last int, digest binary")
+    hard = hard.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts"))).groupBy("row").agg(F.collect_list(F.struct("h", "part", "parts", "key", "s", "m", "o", "n")).alias("at"))
+    cut = found.select("row", "text").join(hard, "row").select("text", "at").mapInArrow(_cut, "h long, part long, parts long, key binary, seg binary, o int, n long")
+    judged = cut.repartition(partitions(spark), "h", "part").sortWithinPartitions("h", "part").mapInArrow(_judge_groups, "key binary, first int, last int, digest binary")
     judged = save(judged, "judged")
     speaks = judged.where("digest IS NOT NULL")
     shared = speaks.groupBy("digest").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select("digest")
     answered = speaks.where("key IS NOT NULL").join(shared, "digest", "left_semi").select("key", "first", (F.col("first") + 1).alias("last"))
     repeats = easy.unionByName(judged.where("digest IS NULL").select("key", "first", "last")).unionByName(answered)
 
-    places = found.mapInArrow(_cut(False), "row long, s long, key binary")
+    places = keyed.select("row", F.col("s").cast("long").alias("s"), "key")
     spans = places.join(repeats, "key").groupBy("row").agg(F.collect_list(F.struct((F.col("s") + F.col("first")).alias("a"), (F.col("s") + F.col("last") + (LENGTH - 1)).alias("b"))).alias("spans"))
-    return rows, found.select("row", "text").join(spans, "row")
+    return rows, found.select("row", "text"), spans
+
+
+def without(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
+    """(what is left, maximal removed runs)."""
+    gone = union(spans)
+    return b"".join(raw[a:c] for a, c in zip([0, *(y for _, y in gone)], [*(x for x, _ in gone), len(raw)], strict=True)), gone
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+    types = [pa.int64(), pa.int64(), pa.string()]
     for b in batches:
         out: list[list] = [[] for _ in types]
         for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
-            raw, gone = _raw(text), union([(x["a"], x["b"]) for x in spans])
-            kept = b"".join(raw[a:c] for a, c in zip([0, *(y for _, y in gone)], [*(x for x, _ in gone), len(raw)], strict=True))
-            for c, v in zip(out, (sum(y - x for x, y in gone), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")), strict=True):
+            kept, gone = without(_raw(text), [(x["a"], x["b"]) for x in spans])
+            for c, v in zip(out, (sum(y - x for x, y in gone), len(gone), hashlib.sha256(kept).hexdigest()), strict=True):
                 c.append(v)
-        yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=["at", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-
-REMOVED = "at long, n_removed long, n_spans long, kept_sha256 string, kept string"
+        yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=["at", "n_removed", "n_spans", "kept_sha256"])
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    rows, repeats = _spans(docs)
-    removed = repeats.mapInArrow(_remove, REMOVED).drop("kept")
+    rows, found, spans = _spans(docs)
+    removed = found.join(spans, "row").mapInArrow(_remove, "at long, n_removed long, n_spans long, kept_sha256 string")
     out = rows.select("row", "doc_id", "n_bytes", "sha256").join(removed, F.col("row") == F.col("at"), "left")
     zero = F.lit(0).cast("long")
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"))
@@ -392,12 +424,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """All rows and columns, texts without their repeated strings; n_chars, if there is one, follows the text.
 
     Characters of which only some bytes are repeated go as a whole."""
-    _, repeats = _spans(docs)
-    removed = repeats.mapInArrow(_remove, REMOVED).select("at", "kept")
-    out = docs.withColumn("__row", F.monotonically_increasing_id()).join(removed, F.col("__row") == F.col("at"), "left")
-    text = F.when(F.col("at").isNotNull(), F.col("kept")).otherwise(F.col("text"))
-    made = {"text": text}
+    _, _, spans = _spans(docs)
+
+    @F.pandas_udf("string")
+    def shortened(texts, starts, ends):
+        import pandas as pd
+
+        made = [None if t is None else without(_raw(t), list(zip(a.tolist(), b.tolist(), strict=True)))[0].decode("utf-8", "ignore") for t, a, b in zip(texts, starts, ends, strict=True)]
+        return pd.Series(made, dtype="object")
+
+    spans = spans.select(F.col("row").alias("__at"), F.col("spans.a").alias("__a"), F.col("spans.b").alias("__b"))
+    out = packed(docs).withColumn("__row", F.monotonically_increasing_id()).join(spans, F.col("__row") == F.col("__at"), "left")
+    hit = F.col("__at").isNotNull()
+    # texts that keep all their bytes don't visit Python
+    out = out.withColumn("__kept", shortened(F.when(hit, whole_text("__doc.text")), "__a", "__b"))
+    doc = F.col("__doc").withField("text", F.col("__kept"))
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        made["n_chars"] = F.when(F.col("at").isNotNull(), F.length("kept").cast(kind)).otherwise(F.col("n_chars"))
-    return out.withColumns(made).select(*docs.columns)
+        doc = doc.withField("n_chars", F.length("__kept").cast(docs.schema["n_chars"].dataType))
+    return unpacked(out.select(F.when(hit, doc).otherwise(F.col("__doc")).alias("__doc")))

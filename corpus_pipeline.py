@@ -1,33 +1,54 @@
 """A corpus pipeline: toxic documents go, exact copies go, near copies go, repeated passages go, the rest is packed.
 
 Each stage reads what its predecessor has written.  All but the last return the
-columns of documents."""
+columns of documents.  A stage begins by deleting the tables that the stage
+before it has worked with, whose result has been written by then."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from widegrain.llm import exact_dedup, jaccard_groups, packing, suffix_dedup, toxicity
-from widegrain.llm.common import documents, save
+from widegrain.llm.common import documents, release, save, scope
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _tidy(stage: Stage) -> Stage:
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, "pipeline")
+        with scope("pipeline"):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@_tidy
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@_tidy
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_one(docs)
 
 
+@_tidy
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard_groups.one_of_each(docs)
 
 
+@_tidy
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(docs)
 
 
+@_tidy
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 

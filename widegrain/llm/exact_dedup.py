@@ -76,8 +76,8 @@ def _state(spark: SparkSession, landing_path: str, schema) -> DataFrame:
     return state.groupBy("digest").agg(F.max("n").alias("n"), F.max("keep").alias("keep"))
 
 
-def _groups(docs: DataFrame, digest=sha256_digest) -> tuple[DataFrame, DataFrame]:
-    """(landing rows, groups): of every row digest, doc_id and locator; of every digest n, keep and whether all bytes agree."""
+def _groups(docs: DataFrame, digest=sha256_digest) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(landing rows, groups, digests of several texts): of every row digest, doc_id and locator; of every digest n and keep."""
     spark = docs.sparkSession
     keyed = _keyed(docs, digest)
     landing = save(keyed.select(F.col("__digest").alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), F.col("__locator").alias("locator")), "dedup-landing")
@@ -87,14 +87,19 @@ def _groups(docs: DataFrame, digest=sha256_digest) -> tuple[DataFrame, DataFrame
     hits = state.where("n > 1").select(F.col("digest").alias("__digest"))
     same = keyed.select("__digest", "__text").join(hits, "__digest", "left_semi").groupBy("__digest").agg(F.min("__text").alias("a"), F.max("__text").alias("b"))
     differ = save(same.where("a <> b").select(F.col("__digest").alias("digest")), "dedup-differ")
-    return landing, state.join(differ.withColumn("differs", F.lit(True)), "digest", "left")
+    return landing, state, differ
 
 
 def _decisions(docs: DataFrame, digest=sha256_digest) -> DataFrame:
-    landing, groups = _groups(docs, digest)
-    plain = landing.join(groups, "digest").where("differs IS NULL").select("digest", "doc_id", "locator", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("locator") == F.col("keep.locator")).alias("kept"))
+    landing, groups, differ = _groups(docs, digest)
+    several = not differ.isEmpty()
+    if several:
+        groups = groups.join(differ, "digest", "left_anti")
+    plain = landing.join(groups, "digest").select("digest", "doc_id", "locator", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("locator") == F.col("keep.locator")).alias("kept"))
+    if not several:
+        return plain
     # rows whose digest stands for several texts: by the text itself
-    odd = _keyed(docs, digest).join(groups.where("differs").select(F.col("digest").alias("__digest")), "__digest", "left_semi").select(F.col("__digest").alias("digest"), "__text", F.col("doc_id").cast("long").alias("doc_id"), F.col("__locator").alias("locator"))
+    odd = _keyed(docs, digest).join(differ.select(F.col("digest").alias("__digest")), "__digest", "left_semi").select(F.col("__digest").alias("digest"), "__text", F.col("doc_id").cast("long").alias("doc_id"), F.col("__locator").alias("locator"))
     by_text = odd.groupBy("__text").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "locator")).alias("keep"))
     rest = odd.join(by_text, "__text").select("digest", "doc_id", "locator", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("locator") == F.col("keep.locator")).alias("kept"))
     return plain.unionByName(rest)

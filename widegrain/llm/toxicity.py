@@ -41,7 +41,7 @@ LANGUAGE_LEAST = 8
 #: A language's threshold stays in this range.
 LANGUAGE_RANGE = (0.4, 0.9)
 #: Words whose projections a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def parts_of(word: str) -> tuple[int, ...]:

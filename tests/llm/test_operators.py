@@ -481,6 +481,31 @@ def test_wrapper_inference():
     assert op.render(merged.tree) == op.render(w.tree) and merged.pages == 4
 
 
+def wrapper_of(sources):
+    """A wrapper merged from two parts, as tasks make them."""
+    from widegrain.llm import html_wrappers as op
+
+    parts = [op.Wrapper(), op.Wrapper()]
+    for k, source in enumerate(sources):
+        parts[k % 2].add(*op.read_page(source))
+    return op.Wrapper.load(parts[0].dump()).merge(op.Wrapper.load(parts[1].dump()))
+
+
+def test_wrapper_decides_extraction():
+    from widegrain.llm import html_wrappers as op
+
+    # texts that all pages share stand under the same tags as those that differ
+    pages = [f"<div>Home</div><div class=x><p>Our shop</p></div><div class=y><p>Tale {k}</p><p>of {k}</p></div><ul><li>Terms<li>Imprint</ul>" for k in range(12)]
+    w = wrapper_of(pages)
+    assert [op.extract(p, w) for p in pages] == [f"Tale {k}\nof {k}" for k in range(12)]
+    # one block of a page is fixed only as a whole
+    mixed = [f"<div>Signed by <b>author {k}</b></div><p>Powered by <b>us</b></p>" for k in range(12)]
+    assert op.extract(mixed[3], wrapper_of(mixed)) == "Signed by author 3"
+    # paths are the same, but the place in the tree differs: the first paragraph is the host's own
+    first = [f"<p>Welcome</p><div>d {k}</div><p>Story {k}</p>" for k in range(12)]
+    assert op.extract(first[5], wrapper_of(first)) == "d 5\nStory 5"
+
+
 @pytest.mark.parametrize("name", ["fingerprints", "packing", "bpe", "dedup", "lm", "toxicity", "jaccard", "suffix"])
 def test_empty_tables(spark, table, name):
     import public_tokenizers as P

@@ -8,9 +8,10 @@ slot, and one that all pages share stays fixed.  A wrapper has no alternatives,
 so wrappers of parts of a host can be aligned with each other as pages are, and
 each task folds its pages before anything is shuffled.
 
-Extraction walks a page beside its host's wrapper.  The article is what stands
-in the article or main region; a page without one gives all text that its
-host's wrapper doesn't fix for all pages.  Regions whose tag, class, id or role
+The article is what stands in the article or main region, whole, also where all
+pages of the host share a text there.  A page without such a region is matched
+with its host's wrapper: a block all of whose texts the wrapper fixes is left
+out, what stands in slots or what the wrapper doesn't match is kept.  Regions whose tag, class, id or role
 marks them as menus, headers, footers, sidebars, notices, adverts, forms or
 comments are left out.
 
@@ -134,12 +135,26 @@ def events(source: str) -> Iterator[tuple[str, str, bool, bool]]:
 _JOIN = {(a, b): ("*" if {a, b} & {"*"} or {a, b} == {"?", "+"} else "+" if "+" in (a, b) else "?" if "?" in (a, b) else "1") for a in "1?+*" for b in "1?+*"}
 
 
-def fold(children: list) -> list:
-    """Neighbours of one label become one repeated child."""
+def _both(a: list, b: list, quantifier: str, page: bool) -> list:
+    """Two nodes of one label as one."""
+    if a[0] != "#":
+        return [a[0], quantifier, align(a[2], b[2], page)]
+    (h, n), (g, m) = a[2], b[2]
+    if page:  # the texts of one page follow each other
+        return ["#", quantifier, [_hash(f"{h},{g}"), 1], *([a[3] + b[3]] if len(a) > 3 else ())]
+    return ["#", quantifier, [h if h == g else 0, n + m]]
+
+
+def _less(node: list, quantifier: str) -> list:
+    return [node[0], quantifier, *node[2:]]
+
+
+def fold(children: list, page: bool = False) -> list:
+    """Neighbours of one label become one repeated child; page tells that they stand on one page."""
     out: list = []
     for c in children:
         if out and out[-1][0] == c[0]:
-            out[-1] = [c[0], "*" if "*" in (out[-1][1], c[1]) else "+", align(out[-1][2], c[2])]
+            out[-1] = _both(out[-1], c, "*" if "*" in (out[-1][1], c[1]) else "+", page)
         else:
             out.append(c)
     # a repeated pair or triple of labels folds into a repetition of its members
@@ -147,45 +162,44 @@ def fold(children: list) -> list:
         k = 0
         while k + 2 * width <= len(out):
             if [c[0] for c in out[k : k + width]] == [c[0] for c in out[k + width : k + 2 * width]]:
-                merged = [[a[0], "*" if "*" in (a[1], b[1]) or "?" in (a[1], b[1]) else "+", align(a[2], b[2])] for a, b in zip(out[k : k + width], out[k + width : k + 2 * width], strict=True)]
+                merged = [_both(a, b, "*" if "*" in (a[1], b[1]) or "?" in (a[1], b[1]) else "+", page) for a, b in zip(out[k : k + width], out[k + width : k + 2 * width], strict=True)]
                 out[k : k + 2 * width] = merged
             else:
                 k += 1
     return out
 
 
-def align(a: list, b: list) -> list:
-    """The least wrapper of this form that matches what either of two child lists matches."""
-    if a == b:
-        return a
-    la, lb = [x[0] for x in a], [x[0] for x in b]
+def common(la: list[str], lb: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence of labels."""
     if la == lb:
-        pairs = [(x, x) for x in range(len(la))]
-    else:
-        # longest common subsequence of labels
-        n, m = len(la), len(lb)
-        best = [[0] * (m + 1) for _ in range(n + 1)]
-        for i in range(n - 1, -1, -1):
-            for j in range(m - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if la[i] == lb[j] else max(best[i + 1][j], best[i][j + 1])
-        pairs, i, j = [], 0, 0
-        while i < n and j < m:
-            if la[i] == lb[j]:
-                pairs.append((i, j))
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                i += 1
-            else:
-                j += 1
+        return [(x, x) for x in range(len(la))]
+    n, m = len(la), len(lb)
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if la[i] == lb[j] else max(best[i + 1][j], best[i][j + 1])
+    pairs, i, j = [], 0, 0
+    while i < n and j < m:
+        if la[i] == lb[j]:
+            pairs.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return pairs
+
+
+def align(a: list, b: list, page: bool = False) -> list:
+    """The least wrapper of this form that matches what either of two child lists matches."""
     out, i, j = [], 0, 0
-    optional = lambda c: [c[0], _JOIN[c[1], "?"], c[2]]
-    for x, y in [*pairs, (len(a), len(b))]:
-        out.extend(optional(c) for c in a[i:x])
-        out.extend(optional(c) for c in b[j:y])
+    for x, y in [*common([c[0] for c in a], [c[0] for c in b]), (len(a), len(b))]:
+        out.extend(_less(c, _JOIN[c[1], "?"]) for c in a[i:x])
+        out.extend(_less(c, _JOIN[c[1], "?"]) for c in b[j:y])
         if x < len(a) and y < len(b):
-            out.append([la[x], _JOIN[a[x][1], b[y][1]], align(a[x][2], b[y][2])])
+            out.append(_both(a[x], b[y], _JOIN[a[x][1], b[y][1]], page))
         i, j = x + 1, y + 1
-    return fold(out) if len(out) > max(len(a), len(b)) else out
+    return fold(out, page) if len(out) > max(len(a), len(b)) else out
 
 
 def render(children: list) -> str:
@@ -197,124 +211,115 @@ def render(children: list) -> str:
     return "".join(out)
 
 
-def read_page(source: str) -> tuple[list, dict[str, int], list[str]]:
-    """(tree, hash of the text of the blocks at each path or 0 where several differ, paths of article regions)."""
+def _hash(text: str) -> int:
+    return xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass")) or 1
+
+
+def read_page(source: str, places: bool = False) -> tuple[list]:
+    """(tree,) of a page.  A text's node has the hash of what stands there and 1, and its places among the page's texts if asked for."""
     root: list = []
-    stack, path = [root], []
-    texts: dict[str, int] = {}
-    articles: dict[str, None] = {}
+    stack = [root]
     aside = 0
     marks: list[bool] = []
-    parts: list[str] = []
-
-    def end_block():
-        text = _SPACE.sub(" ", "".join(parts)).strip()
-        parts.clear()
-        if text:
-            at, h = block_path(path), xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass")) or 1
-            if texts.setdefault(at, h) != h:
-                texts[at] = 0
-
+    at = -1
     for kind, value, is_aside, is_article in events(source):
-        if kind in ("open", "close") and value.split(".", 1)[0] in BLOCK:
-            end_block()
         if kind == "open":
             node = [value, "1", []]
             stack[-1].append(node)
             stack.append(node[2])
-            path.append(value)
             marks.append(is_aside and not is_article)
             aside += marks[-1]
-            if is_article and not aside:
-                articles["/".join(path)] = None
         elif kind == "close":
             children = stack.pop()
-            children[:] = fold(children)
-            path.pop()
+            children[:] = fold(children, True)
             aside -= marks.pop()
-        elif kind == "text" and not aside and not value.isspace():
-            if not stack[-1] or stack[-1][-1][0] != "#":
-                stack[-1].append(["#", "1", []])
-        if kind == "text" and not aside:
-            parts.append(value)
-    end_block()
-    return fold(root), texts, list(articles)
-
-
-def block_path(path: list[str]) -> str:
-    """Labels down to the innermost block."""
-    n = next((k for k in range(len(path), 0, -1) if path[k - 1].split(".", 1)[0] in BLOCK), 0)
-    return "/".join(path[:n])
+        elif kind == "text":
+            at += 1
+            if not aside and not value.isspace():
+                node = ["#", "1", [_hash(_SPACE.sub(" ", value).strip()), 1], *([[at]] if places else ())]
+                if stack[-1] and stack[-1][-1][0] == "#":
+                    stack[-1][-1] = _both(stack[-1][-1], node, "1", True)
+                else:
+                    stack[-1].append(node)
+    return (fold(root, True),)
 
 
 class Wrapper:
-    """What is known of a host: the expression, its fixed texts and where articles are."""
+    """What is known of a host: the expression, in which a text's node has its hash, or 0 where pages differ, and the number of pages that have it."""
 
-    def __init__(self, tree=None, texts=None, articles=None, pages: int = 0):
-        self.tree, self.texts, self.articles, self.pages = tree or [], texts or {}, articles or {}, pages
-        self._seen: set[str] = set()
+    def __init__(self, tree=None, pages: int = 0):
+        self.tree, self.pages = tree or [], pages
 
-    def add(self, tree: list, texts: dict[str, int], articles: list[str]) -> None:
-        form = repr(tree)
-        if form not in self._seen:
-            self._seen.add(form)
+    def add(self, tree: list) -> None:
+        if tree:
             self.tree = align(self.tree, tree) if self.pages else tree
-        self._texts(texts)
-        for a in articles:
-            self.articles[a] = self.articles.get(a, 0) + 1
-        self.pages += 1
-
-    def _texts(self, texts: dict[str, int]) -> None:
-        mine = self.texts
-        for at, h in texts.items():
-            if mine.setdefault(at, h) != h:
-                mine[at] = 0
+            self.pages += 1
 
     def merge(self, other: Wrapper) -> Wrapper:
         self.tree = align(self.tree, other.tree) if self.pages and other.pages else self.tree or other.tree
-        self._texts(other.texts)
-        for a, n in other.articles.items():
-            self.articles[a] = self.articles.get(a, 0) + n
         self.pages += other.pages
         return self
 
     def dump(self) -> str:
-        return json.dumps([self.tree, self.texts, self.articles, self.pages], separators=(",", ":"))
+        return json.dumps([self.tree, self.pages], separators=(",", ":"))
 
     @staticmethod
     def load(raw: str) -> Wrapper:
         return Wrapper(*json.loads(raw))
 
-    def fixed(self) -> frozenset[str]:
-        """Paths outside articles whose text all pages share, where other texts there differ."""
+    def fixes(self, node: list) -> bool:
+        """Whether all pages share a text."""
+        return bool(node[2][0]) and node[2][1] == self.pages
+
+    def fixed_places(self, source: str) -> frozenset[int]:
+        """Places of a page's texts that the wrapper fixes; none where it fixes everything, as the pages are copies then."""
         if self.pages < FIXED_LEAST:
             return frozenset()
-        outside = [p for p in self.texts if not any(p == a or p.startswith(a + "/") for a in self.articles)]
-        return frozenset(p for p in outside if self.texts[p]) if any(not self.texts[p] for p in outside) else frozenset()
+        slots, left = False, list(self.tree)
+        while left and not slots:
+            node = left.pop()
+            if node[0] == "#":
+                slots = not self.fixes(node)
+            else:
+                left.extend(node[2])
+        out: set[int] = set()
+        left = [(read_page(source, True)[0], self.tree)] if slots else []
+        while left:
+            a, b = left.pop()
+            for x, y in common([c[0] for c in a], [c[0] for c in b]):
+                if a[x][0] != "#":
+                    left.append((a[x][2], b[y][2]))
+                elif self.fixes(b[y]) and a[x][2][0] == b[y][2][0]:
+                    out.update(a[x][3])
+        return frozenset(out)
 
 
 def extract(source: str, wrapper: Wrapper | None) -> str:
     """The main text of a page: blocks in page order, joined by line feeds."""
-    fixed = wrapper.fixed_paths if wrapper is not None else frozenset()
-    blocks: list[tuple[bool, bool, str]] = []
-    path: list[str] = []
+    blocks: list[tuple[bool, list[int], str]] = []
     marks: list[tuple[bool, bool]] = []
     aside = article = 0
     parts: list[str] = []
+    places: list[int] = []
     inside = False
+    at = -1
 
     def flush():
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
-            parts.clear()
             if text:
-                blocks.append((inside, not inside and bool(fixed) and block_path(path) in fixed, text))
+                blocks.append((inside, places[:], text))
+            parts.clear()
+            places.clear()
 
     for kind, value, is_aside, is_article in events(source):
         if kind == "text":
+            at += 1
             if not aside:
                 inside = bool(article)
                 parts.append(value)
+                if not value.isspace():
+                    places.append(at)
             continue
         if kind == "break":
             parts.append(" ")
@@ -325,18 +330,19 @@ def extract(source: str, wrapper: Wrapper | None) -> str:
         if name in BLOCK:
             flush()
         if kind == "open":
-            path.append(value)
             marks.append((is_aside and not is_article, is_article and not aside))
             aside += marks[-1][0]
             article += marks[-1][1]
         else:
-            path.pop()
             a, b = marks.pop()
             aside -= a
             article -= b
     flush()
     kept = [t for i, _, t in blocks if i]
-    return "\n".join(kept or [t for _, host_own, t in blocks if not host_own])
+    if not kept and blocks:
+        fixed = wrapper.fixed_places(source) if wrapper is not None else frozenset()
+        kept = [t for _, own, t in blocks if not fixed.issuperset(own)]
+    return "\n".join(kept)
 
 
 # --- distributed -------------------------------------------------------------
@@ -391,7 +397,6 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                     if len(loaded) > 100:
                         loaded.clear()
                     w = loaded[raw] = Wrapper.load(raw)
-                    w.fixed_paths = w.fixed()
                 texts.append(extract(source, w))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

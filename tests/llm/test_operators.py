@@ -506,6 +506,27 @@ def test_wrapper_decides_extraction():
     assert op.extract(first[5], wrapper_of(first)) == "d 5\nStory 5"
 
 
+def test_wrapper_counts_pages():
+    from widegrain.llm import html_wrappers as op
+
+    # what stands on one page only is that page's own, whatever its tag
+    pages = [f"<div>Home</div><p>Tale {k}</p>" + ("<blockquote>quote</blockquote><pre>code</pre><h3>part</h3>" if k == 4 else "") + "<div><i>Imprint</i></div>" for k in range(20)]
+    w = wrapper_of(pages)
+    assert op.extract(pages[4], w) == "Tale 4\nquote\ncode\npart" and op.extract(pages[5], w) == "Tale 5"
+    # ids that differ from page to page
+    names = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
+    pages = [f"<div>Home {len(n)}</div><div id=post-{n}><p>Tale of {n}</p></div>" for n in names]
+    w = wrapper_of(pages)
+    assert all(f"Tale of {n}" in op.extract(p, w) for p, n in zip(pages, names, strict=True))
+    # half of the pages, and nearly all of them
+    pages = [f"<p>Tale {k}</p>" + "<pre>half</pre>" * (k % 2) + "<ul><li>Imprint</ul>" * (k != 7) for k in range(20)]
+    w = wrapper_of(pages)
+    assert op.extract(pages[3], w) == "Tale 3\nhalf" and op.extract(pages[7], w) == "Tale 7\nhalf"
+    # neighbours that fold in the wrapper aren't counted twice
+    nodes = op.fold([["p", "?", [["#", "1", [5, 6]]]], ["p", "?", [["#", "1", [5, 6]]]]])
+    assert nodes == [["p", "+", [["#", "1", [5, 6]]]]]
+
+
 @pytest.mark.parametrize("name", ["fingerprints", "packing", "bpe", "dedup", "lm", "toxicity", "jaccard", "suffix"])
 def test_empty_tables(spark, table, name):
     import public_tokenizers as P

@@ -52,6 +52,8 @@ ASIDE_WORDS = frozenset(
 )
 #: Pages of a host from which on a text that all of them share counts as the host's own.
 FIXED_LEAST = 8
+#: The share of a host's pages that must have a fixed text; cut-off pages lack what comes last.
+FIXED_SHARE = 0.9
 #: Hosts that a task folds at once.
 HOSTS_AT_ONCE = 2_000
 #: First-level groups in which a host's partial wrappers are aligned.
@@ -135,26 +137,30 @@ def events(source: str) -> Iterator[tuple[str, str, bool, bool]]:
 _JOIN = {(a, b): ("*" if {a, b} & {"*"} or {a, b} == {"?", "+"} else "+" if "+" in (a, b) else "?" if "?" in (a, b) else "1") for a in "1?+*" for b in "1?+*"}
 
 
-def _both(a: list, b: list, quantifier: str, page: bool) -> list:
+#: What two nodes belong to: one page, different pages, or places of a wrapper that may have pages in common.
+PAGE, APART, BESIDE = range(3)
+
+
+def _both(a: list, b: list, quantifier: str, of: int) -> list:
     """Two nodes of one label as one."""
     if a[0] != "#":
-        return [a[0], quantifier, align(a[2], b[2], page)]
+        return [a[0], quantifier, align(a[2], b[2], of)]
     (h, n), (g, m) = a[2], b[2]
-    if page:  # the texts of one page follow each other
+    if of == PAGE:  # the texts of one page follow each other
         return ["#", quantifier, [_hash(f"{h},{g}"), 1], *([a[3] + b[3]] if len(a) > 3 else ())]
-    return ["#", quantifier, [h if h == g else 0, n + m]]
+    return ["#", quantifier, [h if h == g else 0, n + m if of == APART else max(n, m)]]
 
 
 def _less(node: list, quantifier: str) -> list:
     return [node[0], quantifier, *node[2:]]
 
 
-def fold(children: list, page: bool = False) -> list:
-    """Neighbours of one label become one repeated child; page tells that they stand on one page."""
+def fold(children: list, of: int = BESIDE) -> list:
+    """Neighbours of one label become one repeated child."""
     out: list = []
     for c in children:
         if out and out[-1][0] == c[0]:
-            out[-1] = _both(out[-1], c, "*" if "*" in (out[-1][1], c[1]) else "+", page)
+            out[-1] = _both(out[-1], c, "*" if "*" in (out[-1][1], c[1]) else "+", of)
         else:
             out.append(c)
     # a repeated pair or triple of labels folds into a repetition of its members
@@ -162,7 +168,7 @@ def fold(children: list, page: bool = False) -> list:
         k = 0
         while k + 2 * width <= len(out):
             if [c[0] for c in out[k : k + width]] == [c[0] for c in out[k + width : k + 2 * width]]:
-                merged = [_both(a, b, "*" if "*" in (a[1], b[1]) or "?" in (a[1], b[1]) else "+", page) for a, b in zip(out[k : k + width], out[k + width : k + 2 * width], strict=True)]
+                merged = [_both(a, b, "*" if "*" in (a[1], b[1]) or "?" in (a[1], b[1]) else "+", of) for a, b in zip(out[k : k + width], out[k + width : k + 2 * width], strict=True)]
                 out[k : k + 2 * width] = merged
             else:
                 k += 1
@@ -190,16 +196,16 @@ def common(la: list[str], lb: list[str]) -> list[tuple[int, int]]:
     return pairs
 
 
-def align(a: list, b: list, page: bool = False) -> list:
+def align(a: list, b: list, of: int = APART) -> list:
     """The least wrapper of this form that matches what either of two child lists matches."""
     out, i, j = [], 0, 0
     for x, y in [*common([c[0] for c in a], [c[0] for c in b]), (len(a), len(b))]:
         out.extend(_less(c, _JOIN[c[1], "?"]) for c in a[i:x])
         out.extend(_less(c, _JOIN[c[1], "?"]) for c in b[j:y])
         if x < len(a) and y < len(b):
-            out.append(_both(a[x], b[y], _JOIN[a[x][1], b[y][1]], page))
+            out.append(_both(a[x], b[y], _JOIN[a[x][1], b[y][1]], of))
         i, j = x + 1, y + 1
-    return fold(out, page) if len(out) > max(len(a), len(b)) else out
+    return fold(out, PAGE if of == PAGE else BESIDE) if len(out) > max(len(a), len(b)) else out
 
 
 def render(children: list) -> str:
@@ -231,17 +237,17 @@ def read_page(source: str, places: bool = False) -> tuple[list]:
             aside += marks[-1]
         elif kind == "close":
             children = stack.pop()
-            children[:] = fold(children, True)
+            children[:] = fold(children, PAGE)
             aside -= marks.pop()
         elif kind == "text":
             at += 1
             if not aside and not value.isspace():
                 node = ["#", "1", [_hash(_SPACE.sub(" ", value).strip()), 1], *([[at]] if places else ())]
                 if stack[-1] and stack[-1][-1][0] == "#":
-                    stack[-1][-1] = _both(stack[-1][-1], node, "1", True)
+                    stack[-1][-1] = _both(stack[-1][-1], node, "1", PAGE)
                 else:
                     stack[-1].append(node)
-    return (fold(root, True),)
+    return (fold(root, PAGE),)
 
 
 class Wrapper:
@@ -268,8 +274,8 @@ class Wrapper:
         return Wrapper(*json.loads(raw))
 
     def fixes(self, node: list) -> bool:
-        """Whether all pages share a text."""
-        return bool(node[2][0]) and node[2][1] == self.pages
+        """Whether nearly all pages have a text and no page another one there."""
+        return bool(node[2][0]) and node[2][1] >= FIXED_SHARE * self.pages
 
     def fixed_places(self, source: str) -> frozenset[int]:
         """Places of a page's texts that the wrapper fixes; none where it fixes everything, as the pages are copies then."""

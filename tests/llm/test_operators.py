@@ -527,6 +527,40 @@ def test_wrapper_counts_pages():
     assert nodes == [["p", "+", [["#", "1", [5, 6]]]]]
 
 
+@pytest.mark.parametrize(
+    "around",
+    [
+        '<form id="aspnetForm">{}</form>',
+        '<body class="has-sidebar">{}</body>',
+        '<body class="search">{}</body>',
+        '<div class="layout header-fixed">{}</div>',
+        '<div class="overlay">{}</div>',
+    ],
+)
+def test_marks_around_articles(around):
+    from widegrain.llm import html_wrappers as op
+
+    page = around.format("<nav>menu</nav><article><h1>Head</h1><p>Text</p></article><footer>foot</footer>")
+    assert op.extract(page, None) == "Head\nText"
+
+
+def test_marks():
+    from widegrain.llm import html_wrappers as op
+
+    # values of other attributes, and names that only end like one
+    assert op.extract('<article><p>See <a href="/hidden-figures">this</a>, <a title="a hidden gem">that</a>, <a href="/p?id=comment">a</a> <a href=/p?class=ad>b</a> <i data-id="reply">and</i> more.</p></article>', None) == "See this, that, a b and more."
+    assert op.extract('<article><h2 class="section-header">A</h2><h2 class="header">B</h2><p>C</p></article>', None) == "A\nB\nC"
+    # marks that are meant
+    assert op.extract('<article><p>A</p><div class="cookie-notice">x</div><div hidden>y</div><p style="display: none">z</p><section id="comments"><article>w</article></section></article>', None) == "A"
+    assert op.extract('<article>A</article><section id="comments"><article class="x">w</article></section><div class="related"><article>v</article></div>', None) == "A"
+    assert op.extract("<div hidden><article>A</article></div><p>B</p>", None) == "B"
+    # a main region under a mark, articles only under marks, a page that is a form
+    assert op.extract('<div class="header"><main>A</main></div><p>B</p>', None) == "A"
+    assert op.extract('<div class="widget"><article>A</article></div><p>B</p>', None) == "A"
+    assert op.extract('<form id="aspnetForm"><div>A</div><nav>n</nav><p>B</p></form>', None) == "A\nB"
+    assert op.extract("<p>A</p><form>send</form>", None) == "A"
+
+
 @pytest.mark.parametrize("name", ["fingerprints", "packing", "bpe", "dedup", "lm", "toxicity", "jaccard", "suffix"])
 def test_empty_tables(spark, table, name):
     import public_tokenizers as P

@@ -11,9 +11,14 @@ each task folds its pages before anything is shuffled.
 The article is what stands in the article or main region, whole, also where all
 pages of the host share a text there.  A page without such a region is matched
 with its host's wrapper: a block all of whose texts the wrapper fixes is left
-out, what stands in slots or what the wrapper doesn't match is kept.  Regions whose tag, class, id or role
-marks them as menus, headers, footers, sidebars, notices, adverts, forms or
-comments are left out.
+out, what stands in slots or what the wrapper doesn't match is kept.  Regions
+whose tag, class, id or role marks them as menus, headers, footers, sidebars,
+notices, adverts, forms or comments are left out.  A mark counts if all words of
+a class, an id or a role are marks ("cookie-notice", not "has-sidebar"); the
+whole page and headings can't be marked by words.  Forms and marks around a main
+region don't hide it, nor forms an article; other articles in marked regions,
+such as comments, are taken only if no region outside has text, and what stands
+in forms only if the rest of the page has none.
 
 Defined cases: null html gives an empty text; a null url, and one without
 "://", has the empty host; cut-off pages are closed where they end, an unclosed
@@ -60,49 +65,67 @@ HOSTS_AT_ONCE = 2_000
 SALTS = 32
 
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z", re.S | re.I)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|style|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"\s+")
 _NAMES = re.compile(r"[a-z]+")
 
-_labels: dict[tuple[str, str], tuple[str, bool, bool]] = {}
+#: Elements that no word marks.
+UNMARKED = frozenset("html body h1 h2 h3 h4 h5 h6".split())
+#: How an element is set apart from the article: not, as a form, by tag or words, or by not being shown.
+NONE, FORM, MARKED, HIDDEN = range(4)
+#: How an element marks the article.
+ARTICLE, MAIN = 1, 2
 
+_labels: dict[tuple[str, str], tuple[str, int, int]] = {}
 
-def _label(name: str, attrs: str) -> tuple[str, bool, bool]:
-    """(label, whether it is marked as something else than the article, whether it marks the article)."""
+
+def _aside_word(token: str) -> bool:
+    names = _NAMES.findall(token)
+    return bool(names) and ASIDE_WORDS.issuperset(names)
+
+
+def _label(name: str, attrs: str) -> tuple[str, int, int]:
+    """(label, how it is set apart from the article, how it marks the article)."""
     known = _labels.get((name, attrs))
     if known is not None:
         return known
-    marks, hidden, article = [], False, name == "article" or name == "main"
+    marks, hidden, article = [], False, MAIN if name == "main" else ARTICLE if name == "article" else NONE
+    words = False
     if attrs:
+        named: dict[str, str] = {}
         for m in _ATTR.finditer(attrs):
-            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            named.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+        for key, value in named.items():
             if key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                 hidden = True
             elif key in ("class", "id", "role"):
                 marks.append(re.sub(r"\d+", "0", value))
-                article = article or (key == "role" and value == "main")
-            elif key == "itemprop":
-                article = article or value == "articlebody"
-    words = {w for m in marks for w in _NAMES.findall(m)}
-    out = "".join((name, *("." + m for m in marks)))[:80], hidden or name in ASIDE_TAGS or bool(words & ASIDE_WORDS), article
+                words = words or any(map(_aside_word, value.split()))
+                if key == "role" and value == "main":
+                    article = MAIN
+            elif key == "itemprop" and value == "articlebody":
+                article = article or ARTICLE
+    marked = (name in ASIDE_TAGS and name != "form") or (words and name not in UNMARKED)
+    apart = HIDDEN if hidden else MARKED if marked else FORM if name == "form" else NONE
+    out = "".join((name, *("." + m for m in marks)))[:80], apart, article
     if len(_labels) > 50_000:
         _labels.clear()
     _labels[name, attrs] = out
     return out
 
 
-def events(source: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """("open", label, aside, article), ("close", label, ..), ("text", raw, ..) and ("break", ..), properly nested."""
+def events(source: str) -> Iterator[tuple[str, str, int, int]]:
+    """("open", label, apart, article), ("close", label, ..), ("text", raw, ..) and ("break", ..), properly nested."""
     stack: list[tuple[str, str]] = []
 
     def close(k: int):
         while len(stack) > k:
-            yield "close", stack.pop()[1], False, False
+            yield "close", stack.pop()[1], NONE, NONE
 
     at = 0
     for m in _TOKEN.finditer(source):
         if m.start() > at:
-            yield "text", source[at : m.start()], False, False
+            yield "text", source[at : m.start()], NONE, NONE
         at = m.end()
         if m[3] is None:
             continue
@@ -113,20 +136,20 @@ def events(source: str) -> Iterator[tuple[str, str, bool, bool]]:
                 yield from close(k)
             continue
         if name in VOID:
-            yield "break", name, name == "hr", False
+            yield "break", name, MARKED if name == "hr" else NONE, NONE
             continue
         if name in BLOCK:
             # a block ends an open paragraph, and some blocks end their like
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p" or stack[k][0] in ENDS.get(name, ()) or (stack[k][0] in BLOCK and stack[k][0] not in ("p",))), None)
             if k is not None and (stack[k][0] == "p" or stack[k][0] in ENDS.get(name, ())):
                 yield from close(k)
-        label, aside, article = _label(name, m[4])
+        label, apart, article = _label(name, m[4])
         if m[4].endswith("/") and name not in BLOCK:
             continue
         stack.append((name, label))
-        yield "open", label, aside, article
+        yield "open", label, apart, article
     if at < len(source):
-        yield "text", source[at:], False, False
+        yield "text", source[at:], NONE, NONE
     yield from close(0)
 
 
@@ -228,12 +251,12 @@ def read_page(source: str, places: bool = False) -> tuple[list]:
     aside = 0
     marks: list[bool] = []
     at = -1
-    for kind, value, is_aside, is_article in events(source):
+    for kind, value, apart, article in events(source):
         if kind == "open":
             node = [value, "1", []]
             stack[-1].append(node)
             stack.append(node[2])
-            marks.append(is_aside and not is_article)
+            marks.append(apart == HIDDEN or (apart == MARKED and not article))
             aside += marks[-1]
         elif kind == "close":
             children = stack.pop()
@@ -300,54 +323,71 @@ class Wrapper:
         return frozenset(out)
 
 
+#: Where a block stands: in an article or main region, in an article of a marked region, elsewhere, in a form.
+REGION, INNER, REST, IN_FORM = range(4)
+
+
 def extract(source: str, wrapper: Wrapper | None) -> str:
     """The main text of a page: blocks in page order, joined by line feeds."""
-    blocks: list[tuple[bool, list[int], str]] = []
-    marks: list[tuple[bool, bool]] = []
-    aside = article = 0
+    blocks: list[tuple[int, list[int], str]] = []
+    # of the elements around: how they are set apart, since the region's begin if there is one, and the region's rank
+    around: list[tuple[int, int]] = [(NONE, REST)]
     parts: list[str] = []
     places: list[int] = []
-    inside = False
+    rank = REST
     at = -1
 
     def flush():
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                blocks.append((inside, places[:], text))
+                blocks.append((rank, places[:], text))
             parts.clear()
             places.clear()
 
-    for kind, value, is_aside, is_article in events(source):
+    for kind, value, apart, article in events(source):
         if kind == "text":
             at += 1
-            if not aside:
-                inside = bool(article)
+            aside, region = around[-1]
+            if aside == NONE or (aside == FORM and region == REST):
+                now = IN_FORM if aside else region
+                if now != rank:
+                    flush()
+                rank = now
                 parts.append(value)
                 if not value.isspace():
                     places.append(at)
             continue
         if kind == "break":
             parts.append(" ")
-            if is_aside:
+            if apart:
                 flush()
             continue
         name = value.split(".", 1)[0]
         if name in BLOCK:
             flush()
         if kind == "open":
-            marks.append((is_aside and not is_article, is_article and not aside))
-            aside += marks[-1][0]
-            article += marks[-1][1]
+            aside, region = around[-1]
+            if article and region == REST and apart != HIDDEN and aside != HIDDEN:
+                around.append((NONE, REGION if aside <= FORM or article == MAIN else INNER))
+            elif article and apart != HIDDEN:
+                around.append((aside, region))
+            else:
+                around.append((max(aside, apart), region))
         else:
-            a, b = marks.pop()
-            aside -= a
-            article -= b
+            around.pop()
     flush()
-    kept = [t for i, _, t in blocks if i]
-    if not kept and blocks:
-        fixed = wrapper.fixed_places(source) if wrapper is not None else frozenset()
-        kept = [t for _, own, t in blocks if not fixed.issuperset(own)]
+    for wanted in (REGION, INNER):
+        kept = [t for i, _, t in blocks if i == wanted]
+        if kept:
+            return "\n".join(kept)
+    if not blocks:
+        return ""
+    fixed = wrapper.fixed_places(source) if wrapper is not None else frozenset()
+    for wanted in (REST, IN_FORM):
+        kept = [t for i, own, t in blocks if i == wanted and not fixed.issuperset(own)]
+        if kept:
+            break
     return "\n".join(kept)
 
 

@@ -350,6 +350,46 @@ def test_toxicity(spark, table, as_doc):
     assert all(r["score"] == 0 for r in none)
 
 
+def test_toxicity_calibrates_on_all(spark, table, as_doc, monkeypatch):
+    from widegrain.llm import toxicity as op
+
+    # 20 of 1,000 labelled toxic documents are in a rare language, and no sample of 100 and 200 has 8 of them to hold back
+    rng = random.Random(12)
+    made, labels = [], []
+    for k in range(3000):
+        toxic, rare = k % 3 == 0, k % 50 == 0
+        words = prose(rng, rng.randrange(10, 30)).split()
+        for _ in range(3 * toxic):
+            words.insert(rng.randrange(len(words)), rng.choice(["vile", "rotten"]))
+        made.append(as_doc(k, " ".join(words), "xx" if rare else "en"))
+        labels.append((k, int(toxic)))
+    monkeypatch.setattr(op, "SAMPLE_TOXIC", 100)
+    monkeypatch.setattr(op, "SAMPLE_OTHER", 200)
+    docs, lab = table(made), spark.createDataFrame(labels, "doc_id long, toxic int")
+    seen = {}
+    whole = op.calibrate_on_all
+    monkeypatch.setattr(op, "calibrate_on_all", lambda model, labelled, fitted: seen.update(rows=labelled.count(), fitted=sum(fitted.values())) or whole(model, labelled, fitted))
+    model = op.train(docs, lab)
+    assert set(model.thresholds) == {"en", "xx"}
+    # all that may be learned from is either fitted or calibrated on
+    assert seen["rows"] + seen["fitted"] == sum(zlib.crc32(str(k).encode()) % 3 != 1 for k in range(3000))
+
+
+def test_cut_of_counts():
+    import numpy as np
+
+    from widegrain.llm import toxicity as op
+
+    rng = np.random.default_rng(3)
+    y = (rng.random(4000) < 0.2).astype(int)
+    logits = rng.normal(0, 1, 4000) + 2 * y
+    f1 = lambda cut: 2 * (y[logits >= cut]).sum() / ((logits >= cut).sum() + y.sum())
+    bins, counts = op._dense(np.floor(logits * op.BINS).astype(int), y, np.ones(4000, int))
+    assert f1(op.cut_of_counts(bins, counts, (1.0, 1.0))) > f1(op._best_cut(logits, y)) - 0.005
+    # a class that stands for more weighs more: more clean documents move the cut up
+    assert op.cut_of_counts(bins, counts, (10.0, 1.0)) > op.cut_of_counts(bins, counts, (1.0, 1.0))
+
+
 def jaccard_expected(rows, width, percent):
     sets = []
     for _, t, *_ in rows:

@@ -4,9 +4,12 @@ A word's vector is the sum of hashed embeddings of the word and of its first
 four, five and six letters.  Filters of one, two and three words run over the
 whole text; each gives its greatest response, and a logistic layer weighs them.
 It is trained with Adam on a bounded sample of labelled documents and
-calibrated on labelled documents that were held back: the score at which the
-two classes part best becomes CUT, and each language gets a threshold of its
-own where it has enough labels.  A score depends on the text alone.
+calibrated on all other labelled documents that may be learned from, by counts
+of their scores made by the executors: the score at which the two classes part
+best becomes CUT, and each language gets a threshold of its own where it has
+enough labels.  Documents count by how many their class has in all, fitted ones
+included, so that the sample's bounds don't shift the mix.  A score depends on
+the text alone.
 
 Defined cases: a null text counts as empty; an empty text has the score of the
 filters' answer to padding; without labels of both classes every score is 0; a
@@ -18,7 +21,7 @@ result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -40,6 +43,8 @@ CUT = 0.7
 LANGUAGE_LEAST = 8
 #: A language's threshold stays in this range.
 LANGUAGE_RANGE = (0.4, 0.9)
+#: Counts of scores: bins of one logit, and the greatest logit told apart from greater ones.
+BINS, BINS_END = 64, 64
 #: Words whose projections a worker keeps.
 CACHE_WORDS = 200_000
 
@@ -295,11 +300,59 @@ def remainder(column, mod: int):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(mod))
 
 
+def cut_of_counts(bins: np.ndarray, counts: np.ndarray, weights: tuple[float, float]) -> float:
+    """The logit at which F1 is greatest, from ascending bins of logits and the number of documents of each class in them."""
+    other, toxic = (counts[::-1, k] * weights[k] for k in (0, 1))
+    hit = np.cumsum(toxic)
+    k = int((2 * hit / (hit + np.cumsum(other) + toxic.sum())).argmax())
+    down = bins[::-1]
+    return float((down[k] + (down[k + 1] + 1 if k + 1 < len(down) else down[k])) / 2 / BINS)
+
+
+def _dense(bins, toxic, counts) -> tuple[np.ndarray, np.ndarray]:
+    """Bins in order, and a row for each with the counts of both classes."""
+    at, place = np.unique(np.asarray(bins), return_inverse=True)
+    out = np.zeros((len(at), 2))
+    np.add.at(out, (place, np.asarray(toxic)), np.asarray(counts))
+    return at, out
+
+
+def calibrate_on_all(model: Model, labelled: DataFrame, fitted: dict[tuple[str | None, int], int]) -> bool:
+    """Set shift, scale and thresholds by all rows of labelled (text, lang, toxic); False if a class is missing.
+
+    fitted has the number of documents by language and class that the model was fitted on."""
+    spark = labelled.sparkSession
+    handle = spark.sparkContext.broadcast(model)
+    logit = F.greatest(F.lit(-BINS_END), F.least(F.lit(BINS_END), score_column(handle, logits=True)("text")))
+    counts = labelled.select("lang", "toxic", F.floor(logit * BINS).cast("int").alias("bin")).groupBy("lang", "toxic", "bin").agg(F.count("*").alias("n")).persist()
+    whole = counts.groupBy("toxic", "bin").agg(F.sum("n").alias("n")).toArrow()
+    bins, held = _dense(whole.column("bin"), whole.column("toxic"), whole.column("n"))
+    have = held.sum(axis=0) if len(bins) else np.zeros(2)
+    if have.all():
+        weights = tuple((have[k] + sum(n for (_, t), n in fitted.items() if t == k)) / have[k] for k in (0, 1))
+        mean = ((bins + 0.5) / BINS) @ held / have
+        model.shift, model.scale = cut_of_counts(bins, held, weights), 8.0 / max(mean[1] - mean[0], 1e-3)
+
+        def by_language(key, table):
+            lang = key[0].as_py()
+            at, own = _dense(table.column("bin"), table.column("toxic"), table.column("n"))
+            n = own.sum(axis=0)
+            cuts = []
+            if n[1] >= LANGUAGE_LEAST and n[0]:
+                cuts.append(cut_of_counts(at, own, tuple((n[k] + fitted.get((lang, k), 0)) / n[k] for k in (0, 1))))
+            return pa.table({"lang": pa.array([lang] * len(cuts), pa.string()), "cut": pa.array(cuts, pa.float64())})
+
+        for r in counts.where("lang != ''").groupBy("lang").applyInArrow(by_language, "lang string, cut double").collect():
+            model.thresholds[r["lang"]] = float(np.clip(model.scores(np.array([r["cut"]]))[0], *LANGUAGE_RANGE))
+    counts.unpersist()
+    return bool(have.all())
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit and calibrate on a bounded sample of the rows that may be learned from.
+    """Fit on a bounded sample of the rows that may be learned from and calibrate on all others.
 
     The sample's ids come from the labels alone and are broadcast (their number
-    is bounded), so no text is shuffled."""
+    is bounded); the others meet their labels in a join and leave counts."""
     spark = docs.sparkSession
     allowed = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(remainder("doc_id", 3) != 1)
     pick = lambda label, n: allowed.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
@@ -307,22 +360,22 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     rows = spark.createDataFrame(ids.collect(), ids.schema)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang"), whole_text().alias("text"))
     got = texts.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(rows), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    held = [xxhash.xxh64_intdigest(str(r["doc_id"])) % 5 == 0 for r in got]
-    fitted = [r for r, h in zip(got, held, strict=True) if not h]
+    fitted = [r for r in got if xxhash.xxh64_intdigest(str(r["doc_id"])) % 5]
     if len({r["toxic"] for r in fitted}) < 2:
         return Model(np.zeros((BUCKETS, WIDTH), np.float32), [np.zeros((s, WIDTH, FILTERS), np.float32) for s in SPANS], np.zeros(len(SPANS) * FILTERS, np.float32), np.zeros(len(SPANS) * FILTERS, np.float32), trained=False)
     model = fit([r["text"] for r in fitted], [r["toxic"] for r in fitted])
-    back = [r for r, h in zip(got, held, strict=True) if h]
-    if len({r["toxic"] for r in back}) < 2:
-        back = got
-    return calibrate(model, [r["text"] for r in back], [r["toxic"] for r in back], [r["lang"] for r in back])
+    seen = spark.createDataFrame([(r["doc_id"],) for r in fitted], "doc_id long")
+    others = texts.join(allowed.where(F.col("toxic").isin(0, 1)).join(F.broadcast(seen), "doc_id", "left_anti"), "doc_id")
+    if not calibrate_on_all(model, others, Counter((r["lang"], r["toxic"]) for r in fitted)):
+        return calibrate(model, [r["text"] for r in got], [r["toxic"] for r in got], [r["lang"] for r in got])
+    return model
 
 
 _scorers: dict[int, Scorer] = {}
 
 
-def score_column(model_handle):
-    """A pandas UDF from a text column to scores; the model is a broadcast of fixed size."""
+def score_column(model_handle, logits: bool = False):
+    """A pandas UDF from a text column to scores, or to logits; the model is a broadcast of fixed size."""
 
     @F.pandas_udf("double")
     def score(texts):
@@ -332,7 +385,8 @@ def score_column(model_handle):
         if key not in _scorers:
             _scorers.clear()
             _scorers[key] = Scorer(model_handle.value)
-        return pd.Series(model_handle.value.scores(_scorers[key].logits(texts.tolist())))
+        found = _scorers[key].logits(texts.tolist())
+        return pd.Series(found.astype(float) if logits else model_handle.value.scores(found))
 
     return score
 

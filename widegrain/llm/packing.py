@@ -9,6 +9,9 @@ more tightly.  The same filling is repeated as often as the counts allow, so
 the plan grows with the number of lengths and not with the corpus.  Every piece
 then finds its place from its length and its rank among pieces of that length.
 
+The tokenizer is called as the library does by default: the text of one of its
+special tokens becomes that token.  Texts with such a passage are encoded whole.
+
 Defined cases: a null text counts as empty and packs as the end token alone;
 rows with the same doc_id or text are packed as rows of their own; a null
 doc_id stays null; other columns are ignored; an empty table gives an empty
@@ -18,6 +21,7 @@ result.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from bisect import bisect_right
@@ -25,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -130,12 +135,30 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank_in_part long"
 
 
-def _tokenizer(path: str, pattern: str) -> CachedEncoder:
+class _Encoder:
+    """Ids of texts; those with the text of a special token don't go through the cache of words."""
+
+    def __init__(self, tokenizer, cached: CachedEncoder):
+        self.tokenizer, self.cached = tokenizer, cached
+        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.special = "|".join(map(re.escape, special)) if special else None
+
+    def raw_many(self, texts: pa.Array) -> list[bytes]:
+        whole = pc.match_substring_regex(texts, self.special) if self.special else None
+        if whole is None or not pc.any(whole).as_py():
+            return self.cached.raw_many(texts)
+        out = self.cached.raw_many(pc.if_else(whole, "", texts))
+        for k in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            ids = self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids
+            out[k] = np.array(ids, dtype="<u4").tobytes()
+        return out
+
+
+def _tokenizer(path: str, pattern: str) -> _Encoder:
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
 
     def encode(matches: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in t.encode_batch_fast(matches, add_special_tokens=False)]
@@ -155,10 +178,10 @@ def _tokenizer(path: str, pattern: str) -> CachedEncoder:
             out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         return out
 
-    return CachedEncoder(pattern, encode, encode_words)
+    return _Encoder(t, CachedEncoder(pattern, encode, encode_words))
 
 
-_encoders: dict[tuple[str, str], CachedEncoder] = {}
+_encoders: dict[tuple[str, str], _Encoder] = {}
 _END = np.array([END_ID], dtype="<u4").tobytes()
 
 

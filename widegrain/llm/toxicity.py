@@ -11,6 +11,9 @@ enough labels.  Documents count by how many their class has in all, fitted ones
 included, so that the sample's bounds don't shift the mix.  A score depends on
 the text alone.
 
+Labels meet the text of their doc_id; of several texts with one doc_id the least
+in code point order is learned from.
+
 Defined cases: a null text counts as empty; an empty text has the score of the
 filters' answer to padding; without labels of both classes every score is 0; a
 null doc_id is never held out and has no label; a doc_id labelled twice counts
@@ -87,8 +90,11 @@ class Model:
     def pooled(self, proj: np.ndarray, starts: np.ndarray, where: bool = False):
         """Greatest answer of each filter in each text, and at which word it begins.
 
-        Texts are padded by two zero rows each, so that a span can't reach the next."""
+        Each text ends with two rows of padding; a span that begins there answers
+        nothing, so none reaches the next text."""
         outs, ats, k = [], [], 0
+        ends = np.append(starts[1:], len(proj))
+        padding = np.concatenate([ends - 2, ends - 1])
         for span in SPANS:
             answer = proj[:, k * FILTERS : (k + 1) * FILTERS]
             k += 1
@@ -97,9 +103,10 @@ class Model:
                 shifted[:-j] = proj[j:, k * FILTERS : (k + 1) * FILTERS]
                 answer = answer + shifted
                 k += 1
+            if span > 1:
+                answer[padding] = 0
             outs.append(np.maximum.reduceat(answer, starts, axis=0))
             if where:
-                ends = np.append(starts[1:], len(proj))
                 ats.append(np.stack([a + answer[a:b].argmax(axis=0) for a, b in zip(starts, ends, strict=True)]))
         best = np.concatenate(outs, axis=1) + self.filter_bias
         return (best, np.concatenate(ats, axis=1)) if where else best
@@ -170,6 +177,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
             model.bias = float(bias[0])
             words, inverse = np.unique(np.concatenate([rows[i] for i in chosen]), return_inverse=True)
             starts = np.cumsum([0] + [len(rows[i]) for i in chosen[:-1]])
+            last = np.cumsum([len(rows[i]) for i in chosen])[:, None] - 1
             pooled, at = model.pooled(model.projections(parts[words])[inverse], starts, where=True)
             active = np.maximum(pooled, 0)
             p = 1 / (1 + np.exp(-np.clip(active @ model.weights + model.bias, -30, 30)))
@@ -184,7 +192,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
                 gp, first = grad_pooled[:, cols], at[:, cols]
                 grad_f = np.zeros_like(model.filters[s])
                 for j in range(span):
-                    place = np.minimum(first + j, len(inverse) - 1)
+                    place = np.minimum(first + j, last)
                     w = inverse[place]
                     vectors = model.embedding[parts[words[w]]].sum(axis=2)
                     grad_f[j] = np.einsum("df,dfe->ef", gp, vectors)
@@ -359,7 +367,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     ids = pick(1, SAMPLE_TOXIC).unionByName(pick(0, SAMPLE_OTHER))
     rows = spark.createDataFrame(ids.collect(), ids.schema)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang"), whole_text().alias("text"))
-    got = texts.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(rows), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    short = texts.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(rows), "doc_id")
+    least = short.groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("least"))
+    got = least.select("doc_id", "toxic", "least.text", "least.lang").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     fitted = [r for r in got if xxhash.xxh64_intdigest(str(r["doc_id"])) % 5]
     if len({r["toxic"] for r in fitted}) < 2:
         return Model(np.zeros((BUCKETS, WIDTH), np.float32), [np.zeros((s, WIDTH, FILTERS), np.float32) for s in SPANS], np.zeros(len(SPANS) * FILTERS, np.float32), np.zeros(len(SPANS) * FILTERS, np.float32), trained=False)
@@ -392,13 +402,22 @@ def score_column(model_handle, logits: bool = False):
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, and the language's own decision as rejected."""
+    """doc_id, held_out, score, predicted, and the decision by the language's own threshold as rejected."""
     spark = docs.sparkSession
     prepare(spark)
     model = train(docs, labels)
     score = score_column(spark.sparkContext.broadcast(model))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), score(whole_text()).alias("score"))
-    return rows.select("doc_id", "held_out", "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), score(whole_text()).alias("score"), _limit(model, docs, "lang").alias("limit"))
+    return rows.select("doc_id", "held_out", "score", (F.col("score") >= CUT).cast("int").alias("predicted"), (F.col("score") >= F.col("limit")).alias("rejected"))
+
+
+def _limit(model: Model, docs: DataFrame, lang: str):
+    """The threshold of a row's language, CUT where it has none."""
+    limit = F.lit(CUT)
+    if "lang" in docs.columns:
+        for name, at in sorted(model.thresholds.items()):
+            limit = F.when(F.col(lang) == name, F.lit(at)).otherwise(limit)
+    return limit
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -407,8 +426,4 @@ def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     prepare(spark)
     model = train(docs, labels)
     score = score_column(spark.sparkContext.broadcast(model))
-    limit = F.lit(CUT)
-    if "lang" in docs.columns:
-        for lang, at in model.thresholds.items():
-            limit = F.when(F.col("__doc.lang") == lang, F.lit(at)).otherwise(limit)
-    return unpacked(packed(docs).withColumn("__score", score(whole_text("__doc.text"))).where(F.col("__score") < limit))
+    return unpacked(packed(docs).withColumn("__score", score(whole_text("__doc.text"))).where(F.col("__score") < _limit(model, docs, "__doc.lang")))

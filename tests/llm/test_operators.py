@@ -60,15 +60,15 @@ def test_chunks_shift():
     assert op.chunk_ends(b"") == [] and op.chunk_ends(b"a") == [1]
 
 
-def test_packing(table, rows):
+def test_packing(table, rows, as_doc):
     import public_tokenizers as P
     from tokenizers import Tokenizer
 
     from widegrain.llm import packing as op
 
+    rows = [*rows, as_doc(4001, "a <|endoftext|> b"), as_doc(4002, "<|endoftext|><|endoftext|>")]
     got = collect(op.pack_documents(table(rows), P.path("byte_bpe_50k.json"), P.PATTERN))
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     expect = []
     for d, t, *_ in rows:
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
@@ -350,6 +350,44 @@ def test_toxicity(spark, table, as_doc):
     assert all(r["score"] == 0 for r in none)
 
 
+def test_toxicity_against_plain_convolution():
+    import numpy as np
+
+    from widegrain.llm import toxicity as op
+
+    rng = random.Random(21)
+    texts = [prose(rng, rng.randrange(0, 40)) + (" vile" if k % 3 == 0 else "") for k in range(60)] + ["", "a", "Vile, ROTTEN!"]
+    model = op.fit(texts, [int("vile" in t) for t in texts])
+
+    def logit(text):
+        """Word by word and filter by filter."""
+        vectors = [sum(model.embedding[p].astype(float) for p in op.parts_of(w)) for w in [*(op.plain(t) for t in text.lower().split()), "", ""]]
+        pooled = []
+        for span, filters in zip(op.SPANS, model.filters, strict=True):
+            for f in range(op.FILTERS):
+                pooled.append(max(sum(float(vectors[k + j] @ filters[j, :, f]) for j in range(span) if k + j < len(vectors)) for k in range(len(vectors))))
+        return sum(max(0.0, x + b) * w for x, b, w in zip(pooled, model.filter_bias, model.weights, strict=True)) + model.bias
+
+    got = op.Scorer(model).logits(texts)
+    assert np.allclose(got, [logit(t) for t in texts], atol=1e-4)
+
+
+def test_toxicity_learns_from_the_least_text(spark, table, as_doc):
+    from widegrain.llm import toxicity as op
+
+    rng = random.Random(22)
+    made = [as_doc(k, prose(rng, 12) + (" vile" if k % 2 else "")) for k in range(60)]
+    twice = [*made, *(as_doc(k, "zz " + prose(rng, 12)) for k in range(60))]
+    lab = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    fitted = []
+    for rows, files in ((twice, 1), (list(reversed(twice)), 3)):
+        model = op.train(table(rows, files), lab)
+        fitted.append((model.embedding.sum(), model.shift, sorted(model.thresholds.items())))
+    assert fitted[0] == fitted[1]
+    got = collect(op.score_documents(table(made), lab))
+    assert all(isinstance(r["rejected"], bool) for r in got)
+
+
 def test_toxicity_calibrates_on_all(spark, table, as_doc, monkeypatch):
     from widegrain.llm import toxicity as op
 
@@ -504,7 +542,8 @@ def test_html(spark, tmp_path):
     assert Counter(r["page_id"] for r in got) == Counter(r[0] for r in rows)
     text = {r["page_id"]: r["text"] for r in got}
     for k in range(20):
-        assert text[k] == f"Head {k}\nFirst & bold {k} text.\nSecond line\n" + ("quote\n" if k % 3 else "") + "One\nTwo"
+        # blocks are joined by two line feeds, as the contract of op10 says
+        assert text[k] == "\n\n".join([f"Head {k}", f"First & bold {k} text.", "Second line", *(["quote"] if k % 3 else []), "One", "Two"])
     assert text[100] == "alone" and text[101] == "" and text[103] == "" and text[104] == "just text <b>" and text[105] == "out of article"
     assert text[102].startswith("Head") and text[102].endswith("text.")
     assert all(r["n_chars"] == len(r["text"]) for r in got)
@@ -515,7 +554,7 @@ def test_wrapper_inference():
 
     w = op.Wrapper()
     for n in (1, 3):
-        w.add(*op.read_page("<article><h1>x</h1>" + "<p>a</p>" * n + ("<i>z</i>" if n == 3 else "") + "</article>"))
+        w.add(op.Page("<article><h1>x</h1>" + "<p>a</p>" * n + ("<i>z</i>" if n == 3 else "") + "</article>"))
     assert op.render(w.tree) == "<article><h1>#</h1>(<p>#</p>)+(<i>#</i>)?</article>"
     merged = op.Wrapper.load(w.dump()).merge(op.Wrapper.load(w.dump()))
     assert op.render(merged.tree) == op.render(w.tree) and merged.pages == 4
@@ -527,7 +566,7 @@ def wrapper_of(sources):
 
     parts = [op.Wrapper(), op.Wrapper()]
     for k, source in enumerate(sources):
-        parts[k % 2].add(*op.read_page(source))
+        parts[k % 2].add(op.Page(source))
     return op.Wrapper.load(parts[0].dump()).merge(op.Wrapper.load(parts[1].dump()))
 
 
@@ -537,13 +576,13 @@ def test_wrapper_decides_extraction():
     # texts that all pages share stand under the same tags as those that differ
     pages = [f"<div>Home</div><div class=x><p>Our shop</p></div><div class=y><p>Tale {k}</p><p>of {k}</p></div><ul><li>Terms<li>Imprint</ul>" for k in range(12)]
     w = wrapper_of(pages)
-    assert [op.extract(p, w) for p in pages] == [f"Tale {k}\nof {k}" for k in range(12)]
+    assert [op.extract(p, w) for p in pages] == [f"Tale {k}\n\nof {k}" for k in range(12)]
     # one block of a page is fixed only as a whole
     mixed = [f"<div>Signed by <b>author {k}</b></div><p>Powered by <b>us</b></p>" for k in range(12)]
     assert op.extract(mixed[3], wrapper_of(mixed)) == "Signed by author 3"
     # paths are the same, but the place in the tree differs: the first paragraph is the host's own
     first = [f"<p>Welcome</p><div>d {k}</div><p>Story {k}</p>" for k in range(12)]
-    assert op.extract(first[5], wrapper_of(first)) == "d 5\nStory 5"
+    assert op.extract(first[5], wrapper_of(first)) == "d 5\n\nStory 5"
 
 
 def test_wrapper_counts_pages():
@@ -552,7 +591,7 @@ def test_wrapper_counts_pages():
     # what stands on one page only is that page's own, whatever its tag
     pages = [f"<div>Home</div><p>Tale {k}</p>" + ("<blockquote>quote</blockquote><pre>code</pre><h3>part</h3>" if k == 4 else "") + "<div><i>Imprint</i></div>" for k in range(20)]
     w = wrapper_of(pages)
-    assert op.extract(pages[4], w) == "Tale 4\nquote\ncode\npart" and op.extract(pages[5], w) == "Tale 5"
+    assert op.extract(pages[4], w) == "Tale 4\n\nquote\n\ncode\n\npart" and op.extract(pages[5], w) == "Tale 5"
     # ids that differ from page to page
     names = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
     pages = [f"<div>Home {len(n)}</div><div id=post-{n}><p>Tale of {n}</p></div>" for n in names]
@@ -561,7 +600,7 @@ def test_wrapper_counts_pages():
     # half of the pages, and nearly all of them
     pages = [f"<p>Tale {k}</p>" + "<pre>half</pre>" * (k % 2) + "<ul><li>Imprint</ul>" * (k != 7) for k in range(20)]
     w = wrapper_of(pages)
-    assert op.extract(pages[3], w) == "Tale 3\nhalf" and op.extract(pages[7], w) == "Tale 7\nhalf"
+    assert op.extract(pages[3], w) == "Tale 3\n\nhalf" and op.extract(pages[7], w) == "Tale 7\n\nhalf"
     # neighbours that fold in the wrapper aren't counted twice
     nodes = op.fold([["p", "?", [["#", "1", [5, 6]]]], ["p", "?", [["#", "1", [5, 6]]]]])
     assert nodes == [["p", "+", [["#", "1", [5, 6]]]]]
@@ -581,7 +620,7 @@ def test_marks_around_articles(around):
     from widegrain.llm import html_wrappers as op
 
     page = around.format("<nav>menu</nav><article><h1>Head</h1><p>Text</p></article><footer>foot</footer>")
-    assert op.extract(page, None) == "Head\nText"
+    assert op.extract(page, None) == "Head\n\nText"
 
 
 def test_marks():
@@ -589,7 +628,7 @@ def test_marks():
 
     # values of other attributes, and names that only end like one
     assert op.extract('<article><p>See <a href="/hidden-figures">this</a>, <a title="a hidden gem">that</a>, <a href="/p?id=comment">a</a> <a href=/p?class=ad>b</a> <i data-id="reply">and</i> more.</p></article>', None) == "See this, that, a b and more."
-    assert op.extract('<article><h2 class="section-header">A</h2><h2 class="header">B</h2><p>C</p></article>', None) == "A\nB\nC"
+    assert op.extract('<article><h2 class="section-header">A</h2><h2 class="header">B</h2><p>C</p></article>', None) == "A\n\nB\n\nC"
     # marks that are meant
     assert op.extract('<article><p>A</p><div class="cookie-notice">x</div><div hidden>y</div><p style="display: none">z</p><section id="comments"><article>w</article></section></article>', None) == "A"
     assert op.extract('<article>A</article><section id="comments"><article class="x">w</article></section><div class="related"><article>v</article></div>', None) == "A"
@@ -597,10 +636,131 @@ def test_marks():
     # a main region under a mark, articles only under marks, a page that is a form
     assert op.extract('<div class="header"><main>A</main></div><p>B</p>', None) == "A"
     assert op.extract('<div class="widget"><article>A</article></div><p>B</p>', None) == "A"
-    assert op.extract('<form id="aspnetForm"><div>A</div><nav>n</nav><p>B</p></form>', None) == "A\nB"
+    assert op.extract('<form id="aspnetForm"><div>A</div><nav>n</nav><p>B</p></form>', None) == "A\n\nB"
     assert op.extract("<p>A</p><form>send</form>", None) == "A"
 
 
+def test_wrapper_of_few_pages():
+    from widegrain.llm import html_wrappers as op
+
+    # no region, no telling class: what two pages share is the host's own, what one page has alone is not
+    for n in range(2, 8):
+        pages = [f"<div>Home</div><div><span>Our shop</span></div><h2>Tale {k}</h2><p>It goes on {k * 7}</p><div><i>Imprint</i></div>" for k in range(n)]
+        w = wrapper_of(pages)
+        assert [op.extract(p, w) for p in pages] == [f"Tale {k}\n\nIt goes on {k * 7}" for k in range(n)]
+        # without the tree nothing tells them apart
+        assert op.extract(pages[0], None) == "Home\n\nOur shop\n\nTale 0\n\nIt goes on 0\n\nImprint"
+    one = wrapper_of(pages[:1])
+    assert op.extract(pages[0], one) == op.extract(pages[0], None)
+    # copies fix nothing
+    assert op.extract(pages[0], wrapper_of([pages[0]] * 3)) == op.extract(pages[0], None)
+
+
+def test_wrapper_inside_regions():
+    from widegrain.llm import html_wrappers as op
+
+    # a header of the article stays where it fills a slot and goes where the host's pages share it; so do texts that are links only
+    pages = [f"<article><header><p>The Daily Example</p><h1>Title {k}</h1></header><ul><li><a href=/>Start</a><li><a href=/b>About</a></ul><p>Text {k}</p><p>Shared line</p></article>" for k in range(5)]
+    w = wrapper_of(pages)
+    assert [op.extract(p, w) for p in pages] == [f"Title {k}\n\nText {k}\n\nShared line" for k in range(5)]
+    assert op.extract(pages[2], None) == "The Daily Example\n\nTitle 2\n\nStart\n\nAbout\n\nText 2\n\nShared line"
+    assert op.extract('<article><p class="related-work">A</p><header><h1>B</h1></header></article>', None) == "A\n\nB"
+    # an article element that all pages share, beside text that differs
+    pages = [f"<article><p>Join our club</p></article><div><p>Story {k}</p><p>and {k} more</p></div>" for k in range(4)]
+    assert [op.extract(p, wrapper_of(pages)) for p in pages] == [f"Story {k}\n\nand {k} more" for k in range(4)]
+    # menus of links that differ from page to page
+    pages = [f"<div><ul><li><a href=/x>x{k}</a><li><a href=/y>y{k}</a></ul></div><p>Story <a href=/z>{k}</a></p>" for k in range(4)]
+    assert [op.extract(p, wrapper_of(pages)) for p in pages] == [f"Story {k}" for k in range(4)]
+
+
+def test_wide_levels_are_loosened():
+    from widegrain.llm import html_wrappers as op
+
+    rng = random.Random(14)
+    pages = ["<div class=top>Home</div>" + "".join(f"<div class=c{rng.choice('abcdefgh')}{chr(97 + j % 26)}{chr(97 + j // 26)}>t{k} {j}</div>" for j in range(150)) + f"<section><p>Story {k}</p></section>" for k in range(12)]
+    w = wrapper_of(pages)
+    assert len(w.tree) <= op.WIDE and all(f"Story {k}" in op.extract(p, w) and f"t{k} 149" in op.extract(p, w) for k, p in enumerate(pages))
+    long = "<div class='" + "x y" * 60
+    assert op.Page(long + "a'>A</div>").tree[0][0] != op.Page(long + "b'>A</div>").tree[0][0]
+
+
+def plain_article(source):
+    """A page's text by the standard library's parser: blocks of the article, without marked elements."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.away, self.blocks, self.parts = 0, 0, [], []
+
+        def cut(self):
+            self.blocks.append(" ".join("".join(self.parts).split()))
+            self.parts = []
+
+        def handle_starttag(self, tag, attrs):
+            self.away += tag in ("nav", "footer", "script", "style") or dict(attrs).get("class") == "ad"
+            self.inside += tag == "article"
+            if tag == "br":
+                self.parts.append(" ")
+            elif tag in ("p", "h1", "article", "div", "ul", "li"):
+                self.cut()
+
+        def handle_endtag(self, tag):
+            if tag in ("p", "h1", "article", "div", "ul", "li"):
+                self.cut()
+            self.inside -= tag == "article"
+            self.away -= tag in ("nav", "footer", "script", "style")
+
+        def handle_data(self, data):
+            if self.inside and not self.away:
+                self.parts.append(data)
+
+    r = Reader()
+    # adverts are simple elements here
+    import re
+
+    r.feed(re.sub(r'<div class="ad">[^<]*</div>', "", source))
+    r.close()
+    r.cut()
+    return "\n\n".join(b for b in r.blocks if b)
+
+
+def test_html_against_plain_extractor(spark):
+    import os
+
+    from widegrain.llm import queries as q
+
+    at = "/root/testdata/sf0.01"
+    if not os.path.exists(at):
+        pytest.skip("no test data")
+    sources = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{at}/pages.parquet").collect()}
+    got = q.op10_html_extraction(spark, at).collect()
+    assert Counter(r["page_id"] for r in got) == Counter(sources.keys())
+    assert all(r["text"] == plain_article(sources[r["page_id"]] or "") and r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_html_tables(spark, tmp_path, monkeypatch):
+    from widegrain.llm import html_wrappers as op
+
+    schema = "page_id long, url string, html string, host string, wrapper string, text string, kind int, salt int, pages string"
+    rows = [(k, f"https://h{min(k, 30) % 3}.example/{k}", f"<div>Home</div><p>Tale {k}</p>", "x", "y", "z", 7, 8, "w") for k in range(60)]
+    rows += [rows[5], (None, "https://h0.example/a", "<p>no id</p>", *rows[0][3:]), (61, "https://h1.example/long", "<div>Home</div>" + "<p>word &amp; <b>more</b></p>" * 20_000, *rows[0][3:]), (62, "https://h1.example/deep", "<div>" * 3_000 + "deep" + "</div>" * 10, *rows[0][3:])]
+    for name, some in (("some", rows), ("none", [])):
+        spark.createDataFrame(some, schema).repartition(3).write.parquet(str(tmp_path / name))
+        pages = spark.read.parquet(str(tmp_path / name))
+        small = collect(op.extract_pages(pages))
+        # the way for more wrappers than a broadcast may hold, with hosts that are dealt to several places
+        monkeypatch.setattr(op, "BROADCAST_BYTES", -1)
+        monkeypatch.setattr(op, "PAGES_AT_ONCE", 4)
+        large = collect(op.extract_pages(pages))
+        monkeypatch.undo()
+        key = lambda r: (str(r["page_id"]), r["url"], r["text"], r["n_chars"])
+        assert sorted(map(key, small)) == sorted(map(key, large)) and len(small) == len(some)
+        text = Counter((r["page_id"], r["text"]) for r in small)
+        assert all(text[k, f"Tale {k}"] == 1 + (k == 5) for k in range(60 if some else 0))
+    assert text == Counter()
+
+
 @pytest.mark.parametrize("name", ["fingerprints", "packing", "bpe", "dedup", "lm", "toxicity", "jaccard", "suffix"])
 def test_empty_tables(spark, table, name):
     import public_tokenizers as P

@@ -288,7 +288,7 @@ def plain_ppm(train, text):
     return score, sum(p(b, len(b) - 1, s) for s in range(256))
 
 
-def test_ppm_against_counters():
+def test_ppm_against_counters(monkeypatch):
     import numpy as np
 
     from widegrain.llm import lm_score as op
@@ -296,30 +296,62 @@ def test_ppm_against_counters():
     rng = random.Random(6)
     train = [prose(rng, 40).encode() for _ in range(20)]
     g, c = op.counted(np.concatenate([op.grams_of(x) for x in train]))
-    model = op.Ppm(g, c)
-    short = op.counted(g & np.uint64(0xFFFF), c)
-    for text in [b"", b"the", prose(rng, 30).encode(), b"abcdefghijklmnopqrstuvw xyz " * 4, bytes(range(1, 120))]:
+    low = op.low_levels(*op.short_grams(g, c))
+    whole_trie = op.Ppm(g, c, low)
+    trust = (0.99, 0.8)
+
+    def by_parts(grams):
+        """Each gram from the part of the trie that its context's end leads to."""
+        out = np.zeros(len(grams))
+        for k in np.unique(op.bucket_of(grams)):
+            mine, theirs = op.bucket_of(grams) == k, op.bucket_of(g) == k
+            out[mine] = op.Ppm(g[theirs], c[theirs], low).log10(grams[mine])
+        return out
+
+    for text in [b"", b"the", prose(rng, 30).encode(), b"abcdefghijklmnopqrstuvw xyz " * 4, bytes(range(1, 120)), (prose(rng, 20) + " zq ").encode() * 3]:
         score, whole = plain_ppm(train, text)
         assert abs(whole - 1) < 1e-9
-        assert abs(model.score_many([text])[0] - score) < 1e-3 + 1e-5 * abs(score)
-        parts = 0.0
-        for r in range(3):
-            k = op.range_of(g, 3) == r
-            parts += op.Ppm(g[k], c[k], short=short).score_many([text], 3, r)[0]
-        assert abs(parts - score) < 1e-3 + 1e-5 * abs(score)
+        for slice_ in (op.SLICE, 40):  # also in slices, whose contexts look back over their borders
+            monkeypatch.setattr(op, "SLICE", slice_)
+            for log10 in (whole_trie.log10, by_parts):
+                assert abs(op.score_texts([text, text], log10, trust)[1] - score) < 1e-3 + 1e-5 * abs(score)
+            # what gathering leaves for scoring
+            for some in ([text], [text, b"the", text]):
+                known = [(level, said) for _, _, level, said, _ in op.placed(some)]
+                level, said = (np.concatenate(x) for x in zip(*known, strict=True))
+                told = np.flatnonzero(level >= 0)
+                got = op.score_group(b"".join(some), np.array([len(x) for x in some]), told, level[told], said[told], whole_trie.log10, trust)
+                assert abs(got[-1] - score) < 1e-3 + 1e-5 * abs(score)
+
+
+def test_ppm_table_of_logs():
+    import numpy as np
+
+    from widegrain.llm import lm_score as op
 
+    rng = np.random.default_rng(2)
+    grams = np.unique(rng.integers(0, 1 << 48, 5_000).astype(np.uint64))
+    logs = rng.random(len(grams)).astype(np.float32)
+    assert np.array_equal(op.Logs(grams, logs).log10(grams[::-1]), logs[::-1].astype(float))
+    assert np.array_equal(op._from6(op._bytes6(grams).tobytes()), grams)
 
-def test_ppm_ranges_give_the_same_scores(table, rows):
+
+def test_ppm_blocks_give_the_same_scores(table, rows, monkeypatch):
     from pyspark.sql import functions as F
 
     from widegrain.llm import lm_score as op
+    from widegrain.llm.toxicity import remainder
 
     key = lambda r: (str(r["doc_id"]), r["n_tokens"], round(r["score"], 3))
-    one = collect(op.score_documents(table(rows), F.lit(False)))
-    op.MODEL_GRAMS, before = 3_000, op.MODEL_GRAMS
-    many = collect(op.score_documents(table(rows), F.lit(False)))
-    op.MODEL_GRAMS = before
-    assert sorted(map(key, one)) == sorted(map(key, many))
+    held = F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))
+    one = collect(op.score_documents(table(rows), held))
+    # more blocks; and contexts that count as crowded, so that they are added up and answered in several places
+    assert sorted(map(key, collect(op.score_documents(table(rows, 7), held)))) == sorted(map(key, one))
+    monkeypatch.setattr(op, "ENTRIES", 20)
+    assert sorted(map(key, collect(op.score_documents(table(rows, 7), held)))) == sorted(map(key, one))
+    # all texts held out: nothing is known, and every byte is as likely as any other
+    none = collect(op.score_documents(table(rows[:9]), F.lit(True)))
+    assert all(r["n_known"] == 0 and r["score"] < 0 for r in none)
 
 
 def test_toxicity(spark, table, as_doc):

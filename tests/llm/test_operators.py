@@ -229,10 +229,40 @@ def test_exact_dedup_checks_bytes(table, rows):
     from widegrain.llm import exact_dedup as op
 
     weak = lambda text: F.substring(F.sha2(text, 256), 1, 1)
-    got = op._decisions(table(rows), weak).select("doc_id", "keep_id", "group_size", "kept").collect()
+    weak_binary = lambda text: weak(text).cast("binary")
+    got = op._once(table(rows), weak_binary).decisions().select("doc_id", "keep_id", "group_size", "kept").collect()
     assert Counter(map(tuple, got)) == Counter({k[:4]: 0 for k in exact_expected(rows)} | Counter(k[:4] for k in exact_expected(rows).elements()))
 
 
+def test_exact_dedup_state_meets_a_second_arrival(spark, table, rows, tmp_path):
+    from pyspark.sql import functions as F
+
+    from widegrain.llm import exact_dedup as op
+
+    first, second, third = rows[:40], rows[30:70], rows[60:]
+    for digest in (op.sha256_digest, lambda text: F.substring(F.sha2(text, 256), 1, 1).cast("binary")):
+        folder = str(tmp_path / f"state{digest is op.sha256_digest}")
+        seen = []
+        for some in (first, second, third):
+            seen += some
+            # a new object each time: all that is known is in the folder
+            state = op.DedupState(spark, folder, digest=digest)
+            got = op.dedup_report(table(some), state).select("doc_id", "keep_id", "group_size", "kept").collect()
+            assert Counter(map(tuple, got)) == Counter(k[:4] for k in exact_expected(seen).elements())
+        assert state.arrivals() == 3
+    with pytest.raises(ValueError):
+        op._once(table(first)).add(table(second))
+
+
+def test_exact_dedup_of_rows_without_a_place(table, rows):
+    from widegrain.llm import exact_dedup as op
+
+    docs = table(rows).repartition(3)
+    got = collect(op.dedup_report(docs))
+    assert Counter(tuple(r[c] for c in ("doc_id", "keep_id", "group_size", "kept", "text_sha256")) for r in got) == exact_expected(rows)
+    assert Counter((r["text"] or "") for r in op.keep_one(docs).collect()) == Counter({t or "": 1 for _, t, *_ in rows})
+
+
 def test_ppm_scores(table, rows):
     from pyspark.sql import functions as F
 

@@ -71,7 +71,7 @@ def test_inferred_by_name(shop):
 )
 def test_answers(wide, sql, expect):
     if "line_total >" in sql:  # a measure isn't a channel
-        with pytest.raises(ExpansionError, match="unknown fields"):
+        with pytest.raises(ExpansionError, match="has no field"):
             wide.query(sql)
     else:
         assert values(wide.query(sql)) == expect
@@ -96,11 +96,11 @@ def test_joins_are_pruned(wide):
     ("sql", "error", "says"),
     [
         ("SELEC 1", ExpansionError, "could not parse"),
-        ("WITH orders AS (SELECT 1 AS x) SELECT * FROM orders", ExpansionError, "shadow"),
-        ("SELECT 1 FROM orders, orders o", ExpansionError, "to itself"),
-        ("SELECT 1 FROM other", ExpansionError, "no logical model"),
-        ("SELECT 1 FROM orders JOIN customers ON true", ExpansionError, "one model per query"),
-        ("SELECT nope FROM orders", ExpansionError, "unknown fields"),
+        ("WITH orders AS (SELECT 1 AS x) SELECT * FROM orders", ExpansionError, "WITH part"),
+        ("SELECT 1 FROM orders, orders o", ExpansionError, "stands twice"),
+        ("SELECT 1 FROM other", ExpansionError, "is a model"),
+        ("SELECT 1 FROM orders JOIN customers ON true", ExpansionError, "reads one model|is none"),
+        ("SELECT nope FROM orders", ExpansionError, "has no field"),
         ("INSERT INTO orders SELECT 1", ExpansionError, "only queries"),
         ("SELECT orders_placed_at FROM customers", FilterOnlyMisuse, "no value"),
         ("SELECT id FROM customers WHERE orders_placed_at > TIMESTAMP '2026-01-01' OR id = 1", FilterOnlyMisuse, "joined by AND"),

@@ -20,6 +20,7 @@ from .plans.infer import by_key, by_name, by_tokens
 from .plans.select import explicit, greedy, lattice, profiles
 from .reports import quality
 from .reports.information import column_bits
+from .reports.text import kind_of
 from .sources.catalog import from_frames, star_schema
 from .types import Catalog, Edge
 
@@ -297,7 +298,7 @@ def explicit_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def layer_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = orders_layer(spark, sf_dir)
-    return spark.createDataFrame([(f.name, quality.kind_of(f)) for f in wide.layer.model("orders").fields], "field string, kind string")
+    return spark.createDataFrame([(f.name, kind_of(f)) for f in wide.layer.model("orders").fields], "field string, kind string")
 
 
 def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,7 +309,7 @@ def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fidelity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = orders_layer(spark, sf_dir)
     f = quality.fidelity(wide.layer, wide.graph)
-    return spark.createDataFrame([(f.columns_total, f.edges_absorbed, f.edges_total, f.pairs_answered, f.pairs_total)], "columns_total int, edges_absorbed int, edges_total int, pairs_answered int, pairs_total int")
+    return spark.createDataFrame([(f.columns.of + f.noise, f.joins.have, f.joins.of, f.pairs.have, f.pairs.of)], "columns_total int, edges_absorbed int, edges_total int, pairs_answered int, pairs_total int")
 
 
 def compression_flows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,9 +174,14 @@ def link_axis_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _slices(spark: SparkSession, sf_dir: str) -> Catalog:
+    """The lines as one table for each month; the driver sees the first and the last date."""
     base = star_schema(spark, sf_dir)
-    lines = base.table("lineitem").frame(spark).select("l_orderkey", "l_partkey", "l_quantity", month_key("l_shipdate").alias("m"))
-    frames = {f"F_LINES_{m}": lines.where(F.col("m") == m).drop("m") for m in ("199601", "199602", "199603")}
+    lines = base.table("lineitem").frame(spark).select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate")
+    kind = lines.schema["l_shipdate"].dataType
+    low, high = lines.agg(F.min("l_shipdate"), F.max("l_shipdate")).first()
+    months = [divmod(k, 12) for k in range(12 * low.year + low.month - 1, 12 * high.year + high.month + 1)]
+    begins = [F.lit(f"{y}-{m + 1:02}-01").cast(kind) for y, m in months]
+    frames = {f"F_LINES_{y}{m + 1:02}": lines.where((F.col("l_shipdate") >= a) & (F.col("l_shipdate") < b)).drop("l_shipdate") for (y, m), a, b in zip(months, begins, begins[1:], strict=False)}
     return _with(base, frames, {n: ("l_orderkey",) for n in frames}, tuple(Edge(n, ("l_partkey",), "part", ("p_partkey",)) for n in frames))
 
 
@@ -345,7 +350,7 @@ def expand_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_equals_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows in which the rendered SQL and the DataFrame of a whole model differ: none."""
+    """How many rows of the rendered SQL and of the DataFrame of a whole model differ: none."""
     wide = orders_layer(spark, sf_dir)
     for t in wide.graph.catalog.tables:
         t.frame(spark).createOrReplaceTempView(t.name)
@@ -354,7 +359,7 @@ def text_equals_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, frame = spark.sql(wide.expand(sql).sql), wide.query(sql)
     near = lambda df: df.select(*(F.round(c, 2).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
     a, b = near(text), near(frame)
-    return a.exceptAll(b).unionByName(b.exceptAll(a))
+    return a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count(F.lit(1)).alias("differing"))
 
 
 def answerable_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -383,6 +388,22 @@ def streamed_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table("widegrain_rollup").select(day_key("window_start").alias("day"), "event_type", F.round("value", 2).alias("value"), "row_count")
 
 
+#: The fact score by its formula, from the columns and row counts that DuckDB sees and the star's keys.
+FACT_SQL = """
+WITH edges(child, col, parent) AS (VALUES ('nation', 'n_regionkey', 'region'), ('customer', 'c_nationkey', 'nation'), ('supplier', 's_nationkey', 'nation'), ('orders', 'o_custkey', 'customer'), ('lineitem', 'l_orderkey', 'orders'), ('lineitem', 'l_partkey', 'part'), ('lineitem', 'l_suppkey', 'supplier')),
+keys AS (SELECT child AS t, col AS c FROM edges UNION VALUES ('region', 'r_regionkey'), ('nation', 'n_nationkey'), ('customer', 'c_custkey'), ('supplier', 's_suppkey'), ('part', 'p_partkey'), ('orders', 'o_orderkey')),
+tables(t) AS (VALUES ('region'), ('nation'), ('customer'), ('supplier'), ('part'), ('orders'), ('lineitem')),
+cols AS (SELECT DISTINCT table_name AS t, column_name AS c, data_type AS d FROM duckdb_columns() WHERE table_name IN (SELECT t FROM tables)),
+plain AS (SELECT t, COUNT(*) AS n, COUNT(*) FILTER (d IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'FLOAT', 'DOUBLE') OR d LIKE 'DECIMAL%') AS numeric FROM cols WHERE (t, c) NOT IN (SELECT (t, c) FROM keys) GROUP BY t),
+times AS (SELECT t, COUNT(*) AS n FROM cols WHERE d LIKE 'TIMESTAMP%' OR d = 'DATE' GROUP BY t),
+signals AS (
+  SELECT t, COALESCE(p.numeric / p.n * LEAST(p.numeric, 4) / 4.0, 0) AS density, LEAST(COALESCE(x.n, 0), 2) / 2.0 AS time,
+         (SELECT COUNT(*) FROM edges WHERE child = t) AS outward, (SELECT COUNT(*) FROM edges WHERE parent = t) AS inward
+  FROM tables LEFT JOIN plain p USING (t) LEFT JOIN times x USING (t)),
+scores AS (SELECT *, (0.40 * density + 0.20 * time + 0.25 * outward / MAX(outward) OVER ()) / 0.85 AS s FROM signals)
+SELECT t AS table_name, CASE WHEN outward + inward = 0 THEN 'isolated' WHEN s >= 0.35 AND outward > 0 THEN 'fact' ELSE 'dimension' END AS role, CAST(ROUND(s, 4) AS DOUBLE) AS score FROM scores
+"""
+
 FRAMES: dict[str, tuple[Query, str | None]] = {
     "wide_child_min_max_avg": (min_max_avg, "SELECT o_orderkey, ROUND(a, 4) AS mean, low, high FROM orders LEFT JOIN (SELECT l_orderkey, AVG(l_quantity) AS a, MIN(l_quantity) AS low, MAX(l_quantity) AS high FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey"),
     "role_playing_dims": (role_playing_dimensions, "SELECT a.c_mktsegment AS bill, b.c_mktsegment AS ship, COUNT(*) AS n FROM orders JOIN customer a ON o_custkey = a.c_custkey LEFT JOIN customer b ON o_custkey % 100 + 1 = b.c_custkey GROUP BY 1, 2"),
@@ -396,7 +417,7 @@ FRAMES: dict[str, tuple[Query, str | None]] = {
     "range_join_scd2": (range_join, "SELECT CASE WHEN o_orderdate <= TIMESTAMP '1997-12-31 23:59:59' THEN 'grade0' WHEN o_orderdate >= TIMESTAMP '1998-01-01' THEN 'grade1' END AS grade, COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total FROM orders GROUP BY 1"),
     "link_axis_count": (link_axis_count, "SELECT p_name AS name, COUNT(DISTINCT l_orderkey) AS orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1"),
     "link_axis_multi": (link_axis_multi, "SELECT p_brand AS brand, s_name AS supplier, o_orderstatus AS status, COUNT(DISTINCT l_orderkey) AS orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_name < 'Supplier#000000020' GROUP BY 1, 2, 3"),
-    "snapshot_union": (snapshot_union, "SELECT strftime(l_shipdate, '%Y%m') AS month, p_brand, COUNT(*) AS n, ROUND(SUM(l_quantity), 2) AS qty FROM lineitem JOIN part ON l_partkey = p_partkey WHERE strftime(l_shipdate, '%Y%m') IN ('199601', '199602', '199603') GROUP BY 1, 2"),
+    "snapshot_union": (snapshot_union, "SELECT strftime(l_shipdate, '%Y%m') AS month, p_brand, COUNT(*) AS n, ROUND(SUM(l_quantity), 2) AS qty FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2"),
     "snapshot_period_filter": (snapshot_period_filter, "SELECT COUNT(*) AS n FROM lineitem WHERE strftime(l_shipdate, '%Y%m') = '199602'"),
     "snapshot_overlap": (snapshot_overlap, "WITH a AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE strftime(l_shipdate, '%Y%m') = '199601'), b AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE strftime(l_shipdate, '%Y%m') = '199602') SELECT (SELECT COUNT(*) FROM (FROM a INTERSECT FROM b)) AS common, (SELECT COUNT(*) FROM (FROM a UNION FROM b)) AS either"),
     "fk_violation_rate": (fk_violation_rate, "SELECT COUNT(*) AS total, COUNT(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)) AS orphans FROM documents"),
@@ -411,7 +432,7 @@ FRAMES: dict[str, tuple[Query, str | None]] = {
     "infer_fk_by_pk": (infer_fk_by_pk, "SELECT * FROM (VALUES ('labels', 'doc_id', 'documents')) v(child, child_columns, parent)"),
     "infer_fk_by_tokens": (infer_fk_by_tokens, "SELECT * FROM (VALUES ('orders', 'customer_id', 'customers'), ('items', 'order_id', 'orders'), ('items', 'SA_PART_CD', 'd_sa_part'), ('labels', 'doc_id', 'documents')) v(child, child_columns, parent)"),
     "recover_relationships_data": (recover_relationships, "SELECT * FROM (VALUES ('labels', 'doc_id', 'documents'), ('orders', 'customer_id', 'customers'), ('items', 'SA_PART_CD', 'd_sa_part'), ('items', 'order_id', 'orders')) v(child, child_columns, parent)"),
-    "fact_scores": (fact_scores, None),
+    "fact_scores": (fact_scores, FACT_SQL),
     "candidate_lattice": (candidate_lattice, "SELECT table_name, CAST(reach AS INTEGER) AS reach, CAST(inlined AS INTEGER) AS inlined FROM (VALUES ('lineitem', 7, 7), ('orders', 5, 4), ('customer', 4, 3), ('nation', 4, 2), ('supplier', 4, 3), ('part', 2, 1), ('region', 2, 1)) v(table_name, reach, inlined)"),
     "greedy_selection": (greedy_selection, None),
     "explicit_pruned": (explicit_pruned, None),
@@ -422,7 +443,7 @@ FRAMES: dict[str, tuple[Query, str | None]] = {
     "answerability": (answerable_cases, "SELECT * FROM (VALUES ('A_1', true, 'orders', ''), ('B_1', false, NULL, 'supplier.s_name')) v(case_id, answerable, model, missing)"),
     "fold_layer": (fold_layer, None),
     "expand_rejections": (expand_rejections, "SELECT * FROM (VALUES ('unparseable', 'ExpansionError'), ('cte_shadows', 'ExpansionError'), ('self_join', 'ExpansionError'), ('no_model', 'ExpansionError'), ('two_models', 'ExpansionError'), ('unknown_field', 'ExpansionError'), ('filter_selected', 'FilterOnlyMisuse'), ('filter_in_or', 'FilterOnlyMisuse'), ('filter_grouped', 'FilterOnlyMisuse'), ('two_filters_in_one', 'FilterOnlyMisuse'), ('physical_table', 'ExpansionError'), ('not_a_query', 'ExpansionError'), ('accepted', 'accepted')) v(rule, outcome)"),
-    "model_text_equals_dataframe": (text_equals_frame, None),
+    "model_text_equals_dataframe": (text_equals_frame, "SELECT CAST(0 AS BIGINT) AS differing"),
     "streamed_rollup": (streamed_rollup, "SELECT strftime(ts, '%Y%m%d') AS day, event_type, ROUND(SUM(value), 2) AS value, COUNT(*) AS row_count FROM events GROUP BY 1, 2"),
 }
 

@@ -14,7 +14,7 @@ from .plans.tune import autotune, curve, knee, render_curve
 from .reports.quality import fidelity
 from .reports.text import render_model, render_report, render_text
 from .session import session
-from .sources.catalog import from_parquet_dir
+from .sources.catalog import from_dir
 from .sources.ddl import read_ddl_file, write_ddl
 from .sources.goldset import load_jsonl
 from .sources.layer_file import load, to_json, to_yaml
@@ -24,7 +24,7 @@ def _catalog(a, spark=None):
     if a.schema.endswith(".sql"):
         return read_ddl_file(a.schema)
     names = sorted(p.stem for p in Path(a.schema).glob("*.parquet"))
-    return recover_by_names(from_parquet_dir(spark or session(), a.schema, names))
+    return recover_by_names(from_dir(spark or session(), a.schema, names))
 
 
 def _fold(a, catalog):

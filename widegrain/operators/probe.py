@@ -14,9 +14,7 @@ from ..graph import SchemaGraph
 from ..plans.infer import Candidate, by_key, by_tokens, value_candidates
 from ..types import Catalog, Edge
 
-MAX_PROBES = 24
 TOLERANCE = 0.01
-MAX_ROWS_FOR_UNIQUENESS = 50_000_000
 HOPS_OF_GUARD = 8
 
 
@@ -59,16 +57,25 @@ def containment(child: DataFrame, column: str, parent: DataFrame, key: str) -> D
 
 
 def distinct_widths(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row: the number of rows and of different values of each column, in one scan."""
+    """One row: the number of rows and of different values of each column.
+
+    Each column is read and made distinct by itself, so a row isn't copied for
+    every column that is counted, and equal values meet before the shuffle."""
     columns = columns or df.columns
-    return df.agg(F.count(F.lit(1)).alias("row_count"), *(F.countDistinct(F.col(f"`{c}`")).alias(c) for c in columns))
+    parts = [df.agg(F.lit("row_count").alias("what"), F.count(F.lit(1)).alias("n"))]
+    parts += [df.select(F.col(f"`{c}`").alias("v")).distinct().agg(F.lit(f"={c}").alias("what"), F.count("v").alias("n")) for c in columns]
+    counts = reduce(DataFrame.unionByName, parts)
+    pick = lambda what, name: F.max(F.when(F.col("what") == what, F.col("n"))).alias(name)
+    return counts.agg(pick("row_count", "row_count"), *(pick(f"={c}", c) for c in columns))
+
 
+def unique_parts(spark: SparkSession, catalog: Catalog, *, max_rows: int | None = None) -> dict[str, tuple[str, ...]]:
+    """Of tables with a composite key a single column of it that is unique by itself.
 
-def unique_parts(spark: SparkSession, catalog: Catalog) -> dict[str, tuple[str, ...]]:
-    """Of tables with a composite key a single column of it that is unique by itself."""
+    max_rows, if given, passes over larger tables."""
     out = {}
     for t in catalog.tables:
-        if len(t.primary_key) < 2 or (t.rows or 0) > MAX_ROWS_FOR_UNIQUENESS:
+        if len(t.primary_key) < 2 or (max_rows is not None and (t.rows or 0) > max_rows):
             continue
         row = distinct_widths(t.frame(spark), list(t.primary_key)).first()
         found = next((c for c in t.primary_key if row["row_count"] and row[c] == row["row_count"]), None)
@@ -110,7 +117,7 @@ def _siblings(graph: SchemaGraph, child: str, parent: str) -> bool:
     return parent.lower() in up or bool((up | {child.lower()}) & graph.reachable(parent, HOPS_OF_GUARD))
 
 
-def recover(spark: SparkSession, catalog: Catalog, *, max_probes: int = MAX_PROBES, tolerance: float = TOLERANCE) -> Catalog:
+def recover(spark: SparkSession, catalog: Catalog, *, max_probes: int | None = None, tolerance: float = TOLERANCE) -> Catalog:
     """Keys that names suggest and data confirm, then keys that data alone show.
 
     First only tables that point nowhere may be pointed to; then, under the
@@ -134,8 +141,10 @@ def recover(spark: SparkSession, catalog: Catalog, *, max_probes: int = MAX_PROB
     return probe(spark, catalog, max_probes=max_probes, tolerance=tolerance)
 
 
-def probe(spark: SparkSession, catalog: Catalog, *, max_probes: int = MAX_PROBES, tolerance: float = TOLERANCE) -> Catalog:
-    """Keys by containment of values: of each column the best candidate among the likeliest ones."""
+def probe(spark: SparkSession, catalog: Catalog, *, max_probes: int | None = None, tolerance: float = TOLERANCE) -> Catalog:
+    """Keys by containment of values: of each column the best candidate.
+
+    max_probes, if given, leaves it at so many of the likeliest candidates."""
     best: dict[tuple[str, str], tuple[float, float, str, Candidate]] = {}
     for c in value_candidates(catalog)[:max_probes]:
         row = containment(catalog.table(c.child).frame(spark), c.column, catalog.table(c.parent).frame(spark), c.key).first()

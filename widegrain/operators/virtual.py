@@ -19,7 +19,7 @@ PERIOD_TABLE, MONTH_KEY, YEAR = "V_PERIOD", "YYYYMM", "YYYY"
 MONTH_NAMES = frozenset("yyyymm yyyy_mm base_yyyymm std_yyyymm".split())
 DAY_NAMES = frozenset("yyyymmdd yyyy_mm_dd base_yyyymmdd std_yyyymmdd".split())
 PARTITION_NAMES = (("day", r"(.+)_(\d{8})", "SNAPSHOT_YYYYMMDD"), ("month", r"(.+)_(\d{6})", "SNAPSHOT_YYYYMM"), ("year", r"(.+)_((?:18|19|20)\d{2})", "SNAPSHOT_YYYY"))
-MEASURES, SNAPSHOT_OVERLAP, ROW_COUNT = 8, 0.9, "ROW_CNT"
+SNAPSHOT_OVERLAP, ROW_COUNT = 0.9, "ROW_CNT"
 
 
 def grain_of(c: ColumnDef) -> str | None:
@@ -67,8 +67,10 @@ def monthly(df: DataFrame, month: str, keys: list[str], measures: list[str]) ->
     return df.groupBy(F.expr(month).alias(MONTH_KEY), *(F.col(f"`{k}`") for k in keys)).agg(*(F.sum(f"`{m}`").alias(m) for m in measures), F.count(F.lit(1)).alias(ROW_COUNT))
 
 
-def add_monthly_summaries(catalog: Catalog, exclude: frozenset[str] = frozenset()) -> Catalog:
-    """V_<fact>_MON for each table with a period, keys and measures; balances are excluded, as they don't add up over months."""
+def add_monthly_summaries(catalog: Catalog, exclude: frozenset[str] = frozenset(), max_measures: int | None = None) -> Catalog:
+    """V_<fact>_MON for each table with a period, keys and measures; balances are excluded, as they don't add up over months.
+
+    max_measures, if given, takes only the first so many measures of each."""
     graph = SchemaGraph.build(catalog)
     tables, edges = [], []
     for t, c, grain in period_columns(catalog):
@@ -78,7 +80,7 @@ def add_monthly_summaries(catalog: Catalog, exclude: frozenset[str] = frozenset(
             continue
         keys = list(dict.fromkeys(k for e in own for k in e.child_cols if k.lower() != c.name.lower()))
         hidden = {k.lower() for k in (*keys, *t.primary_key, c.name)}
-        measures = [m for m in t.columns if m.is_numeric and m.name.lower() not in hidden][:MEASURES]
+        measures = [m for m in t.columns if m.is_numeric and m.name.lower() not in hidden][:max_measures]
         if not measures:
             continue
         columns = (ColumnDef(MONTH_KEY, T.StringType()), *(t.column(k) for k in keys), *(replace(m, dtype=T.LongType() if isinstance(m.dtype, T.IntegralType) else m.dtype) for m in measures), ColumnDef(ROW_COUNT, T.LongType()))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -383,9 +385,17 @@ def streamed_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a stream reads a folder; a table that is one file is picked out of its own
     folder, _, file = table.inputFiles()[0].rpartition("/")
     stream = spark.readStream.schema(table.schema).option("pathGlobFilter", file if file == "events.parquet" else "*.parquet").parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
-    query = rollup(stream, "ts", ["event_type"], ["value"]).writeStream.format("memory").queryName("widegrain_rollup").outputMode("complete").trigger(availableNow=True).start()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="widegrain-")
+    at = f"{shared}/rollup-{uuid.uuid4().hex}"
+    # the result grows with the groups, so it stays distributed: each batch writes the whole of it
+    made = rollup(stream, "ts", ["event_type"], ["value"]).writeStream.outputMode("complete").option("checkpointLocation", f"{at}/stream")
+    query = made.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/rows")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table("widegrain_rollup").select(day_key("window_start").alias("day"), "event_type", F.round("value", 2).alias("value"), "row_count")
+    return spark.read.parquet(f"{at}/rows").select(day_key("window_start").alias("day"), "event_type", F.round("value", 2).alias("value"), "row_count")
 
 
 #: The fact score by its formula, from the columns and row counts that DuckDB sees and the star's keys.
@@ -404,6 +414,33 @@ scores AS (SELECT *, (0.40 * density + 0.20 * time + 0.25 * outward / MAX(outwar
 SELECT t AS table_name, CASE WHEN outward + inward = 0 THEN 'isolated' WHEN s >= 0.35 AND outward > 0 THEN 'fact' ELSE 'dimension' END AS role, CAST(ROUND(s, 4) AS DOUBLE) AS score FROM scores
 """
 
+
+def nested_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays, maps, structs and JSON in a query over a wide model."""
+    return orders_layer(spark, sf_dir).query(
+        "SELECT n_name, SIZE(COLLECT_SET(c_mktsegment)) AS segments, ARRAY_JOIN(ARRAY_SORT(COLLECT_SET(o_orderstatus)), ',') AS statuses, "
+        "ELEMENT_AT(MAP('F', COUNT(CASE WHEN o_orderstatus = 'F' THEN 1 END), 'O', COUNT(CASE WHEN o_orderstatus = 'O' THEN 1 END)), 'O') AS open_orders, "
+        "GET_JSON_OBJECT(TO_JSON(NAMED_STRUCT('name', n_name)), '$.name') AS again FROM orders GROUP BY n_name"
+    )
+
+
+def with_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query that calls a registered vectorised function."""
+
+    @F.pandas_udf("string")
+    def initial(names):
+        return names.str[:1]
+
+    spark.udf.register("widegrain_initial", initial)
+    return orders_layer(spark, sf_dir).query("SELECT widegrain_initial(n_name) AS letter, COUNT(*) AS n FROM orders GROUP BY 1")
+
+
+def with_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named parameters, also in a condition that moves into a child's aggregate."""
+    sql = "SELECT c_mktsegment, SUM(lineitems_count) AS n FROM orders WHERE lineitems_l_returnflag = :flag AND o_totalprice > :least AND n_name <> ':flag' GROUP BY c_mktsegment"
+    return orders_layer(spark, sf_dir).query(sql, {"flag": "R", "least": 150_000})
+
+
 FRAMES: dict[str, tuple[Query, str | None]] = {
     "wide_child_min_max_avg": (min_max_avg, "SELECT o_orderkey, ROUND(a, 4) AS mean, low, high FROM orders LEFT JOIN (SELECT l_orderkey, AVG(l_quantity) AS a, MIN(l_quantity) AS low, MAX(l_quantity) AS high FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey"),
     "role_playing_dims": (role_playing_dimensions, "SELECT a.c_mktsegment AS bill, b.c_mktsegment AS ship, COUNT(*) AS n FROM orders JOIN customer a ON o_custkey = a.c_custkey LEFT JOIN customer b ON o_custkey % 100 + 1 = b.c_custkey GROUP BY 1, 2"),
@@ -444,6 +481,9 @@ FRAMES: dict[str, tuple[Query, str | None]] = {
     "fold_layer": (fold_layer, None),
     "expand_rejections": (expand_rejections, "SELECT * FROM (VALUES ('unparseable', 'ExpansionError'), ('cte_shadows', 'ExpansionError'), ('self_join', 'ExpansionError'), ('no_model', 'ExpansionError'), ('two_models', 'ExpansionError'), ('unknown_field', 'ExpansionError'), ('filter_selected', 'FilterOnlyMisuse'), ('filter_in_or', 'FilterOnlyMisuse'), ('filter_grouped', 'FilterOnlyMisuse'), ('two_filters_in_one', 'FilterOnlyMisuse'), ('physical_table', 'ExpansionError'), ('not_a_query', 'ExpansionError'), ('accepted', 'accepted')) v(rule, outcome)"),
     "model_text_equals_dataframe": (text_equals_frame, "SELECT CAST(0 AS BIGINT) AS differing"),
+    "nested_types": (nested_types, "SELECT n_name, CAST(COUNT(DISTINCT c_mktsegment) AS INTEGER) AS segments, (SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT unnest(list_distinct(list(o_orderstatus))) AS s)) AS statuses, COUNT(*) FILTER (o_orderstatus = 'O') AS open_orders, n_name AS again FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"),
+    "registered_function": (with_function, "SELECT n_name[1] AS letter, COUNT(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"),
+    "named_parameters": (with_parameters, "SELECT c_mktsegment, CAST(SUM(k) AS BIGINT) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN (SELECT l_orderkey, COUNT(*) AS k FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_totalprice > 150000 GROUP BY 1"),
     "streamed_rollup": (streamed_rollup, "SELECT strftime(ts, '%Y%m%d') AS day, event_type, ROUND(SUM(value), 2) AS value, COUNT(*) AS row_count FROM events GROUP BY 1, 2"),
 }
 

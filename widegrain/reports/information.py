@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from ..operators.probe import distinct_widths
 from ..types import Catalog, Layer
 
-MAX_COLUMNS = 80
+#: Columns counted in one query.
+COLUMNS_AT_ONCE = 80
 
 
 def column_bits(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """column_name, n_distinct and bits for each column, from one scan."""
+    """column_name, n_distinct and bits for each column."""
     columns = columns or df.columns
     one = distinct_widths(df, columns)
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("n_distinct")) for c in columns)))
@@ -25,11 +26,11 @@ def column_bits(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def table_bits(spark: SparkSession, catalog: Catalog) -> dict[tuple[str, str], float]:
-    """Bits of (table, column); tables that are too wide are left unmeasured."""
+    """Bits of (table, column); of wide tables some columns at a time."""
     out = {}
     for t in catalog.tables:
-        if t.columns and len(t.columns) <= MAX_COLUMNS:
-            for r in column_bits(t.frame(spark), list(t.column_names)).collect():
+        for k in range(0, len(t.columns), COLUMNS_AT_ONCE):
+            for r in column_bits(t.frame(spark), list(t.column_names[k : k + COLUMNS_AT_ONCE])).collect():
                 out[t.name.lower(), r["column_name"].lower()] = r["bits"]
     return out
 
@@ -53,4 +54,4 @@ class Information:
 
 def measure(layer: Layer, catalog: Catalog, bits: dict[tuple[str, str], float]) -> Information:
     shown = [(f.source.table.lower(), f.source.column.lower()) for m in layer.models for f in m.fields]
-    return Information(math.fsum(bits.values()), math.fsum(bits.get(p, 0) for p in set(shown)), math.fsum(bits.get(p, 0) for p in shown), tuple(t.name for t in catalog.tables if len(t.columns) > MAX_COLUMNS))
+    return Information(math.fsum(bits.values()), math.fsum(bits.get(p, 0) for p in set(shown)), math.fsum(bits.get(p, 0) for p in shown), ())

@@ -16,9 +16,9 @@ def from_frames(frames: dict[str, DataFrame], keys: dict[str, tuple[str, ...]] |
     return Catalog(tuple(table_of(n, df, (keys or {}).get(n, ())) for n, df in frames.items()), tuple(edges))
 
 
-def from_parquet_dir(spark: SparkSession, path: str, names: list[str], keys: dict[str, tuple[str, ...]] | None = None, edges: tuple[Edge, ...] = ()) -> Catalog:
-    """Tables <path>/<name>.parquet; only footers are read here."""
-    return from_frames({n: spark.read.parquet(f"{path}/{n}.parquet") for n in names}, keys, edges)
+def from_dir(spark: SparkSession, path: str, names: list[str], keys: dict[str, tuple[str, ...]] | None = None, edges: tuple[Edge, ...] = (), *, file_format: str = "parquet", **options: str) -> Catalog:
+    """Tables <path>/<name>.<format> in any format that Spark reads (parquet, orc, csv, json); of parquet and orc only footers are read here."""
+    return from_frames({n: spark.read.options(**options).format(file_format).load(f"{path}/{n}.{file_format}") for n in names}, keys, edges)
 
 
 def from_session(spark: SparkSession, database: str | None = None, keys: dict[str, tuple[str, ...]] | None = None) -> Catalog:
@@ -48,4 +48,4 @@ STAR_EDGES = (
 
 
 def star_schema(spark: SparkSession, path: str) -> Catalog:
-    return from_parquet_dir(spark, path, ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"], STAR_KEYS, STAR_EDGES)
+    return from_dir(spark, path, ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"], STAR_KEYS, STAR_EDGES)

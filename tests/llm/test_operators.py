@@ -538,6 +538,41 @@ def test_jaccard_keeps_one(table, rows):
     assert Counter(r["doc_id"] for r in kept.collect() if (r["text"] or "").split() and r["doc_id"] is not None) == Counter(dict.fromkeys(named, 1))
 
 
+def test_block_opens_what_qualifies(monkeypatch):
+    import numpy as np
+
+    from widegrain.llm import jaccard_groups as op
+
+    compared = []
+    similar = op.similar
+    monkeypatch.setattr(op, "similar", lambda a, b, percent: compared.append(1) or similar(a, b, percent))
+    near = [np.unique(np.append(np.arange(100), 1000 + k)).astype(np.uint64) for k in range(20)]
+    block = op.Block(85)
+    links = []
+    for k, tokens in enumerate(near):
+        links += [(k, other) for other in block.ask(k, tokens)]
+        block.add(k, k, tokens)
+    # each near copy is linked once, and members of its component are not compared again
+    assert [k for k, _ in links] == list(range(1, 20)) and len(compared) == 19
+    assert len(block.union) == 120
+    # what the union doesn't cover far enough is not compared with any member
+    assert not list(block.ask(99, np.arange(50, 150).astype(np.uint64))) and len(compared) == 19
+    # a class that links two components names each of them once
+    block = op.Block(50)
+    for k, tokens in enumerate([range(10), range(10, 20), range(9)]):
+        block.add(k, k, np.array(tokens, dtype=np.uint64))
+    assert list(block.ask(7, np.arange(20).astype(np.uint64))) == [0, 1]
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    from widegrain.llm import components as op
+
+    monkeypatch.setattr(op, "LINKS", 2)
+    links = [(50, k) for k in range(51, 80)] + [(7, 50), (7, 7), (1, 2), (2, 1), (2, 3), (3, 90), (90, 4)]
+    got = {r["node"]: r["comp"] for r in op.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {k: 7 for k in (7, *range(50, 80))} | {k: 1 for k in (1, 2, 3, 4, 90)}
+
+
 def test_miss_bound():
     from widegrain.llm.jaccard_groups import BANDS, MISS, rows_of_band
 

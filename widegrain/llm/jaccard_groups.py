@@ -1,14 +1,19 @@
 """Near-duplicate documents by a token-group matrix: all links of word n-gram sets with Jaccard similarity.
 
-Documents with equal sets form a class; what follows is about classes.  Similar
-classes are partitioned into groups: those that agree on a band of min-hashes
-meet, and each class is first held against the least class it meets.  What that
-links is contracted.  What still meets without being in one
-component is cut into groups of bounded size and like length, and of each group
-the union of its members' tokens is kept; a class that meets members of other
-components there is held against the union, which bounds its overlap with every
-member, and only a group that may qualify is opened and its members compared
-one by one.  Similarities are computed on the whole sets.
+Documents with equal sets form a class; what follows is about classes, each
+known by its first row.  Classes that agree on a band of min-hashes meet.
+
+Similar classes are partitioned into groups: each class joins the group of the
+least class that it meets in most bands.  A large group is cut into blocks of
+bounded size, its leader standing in every block.  Of a block the union of its
+members' tokens is kept; a class is held against the union, which bounds its
+overlap with every member, and only a block that may qualify is opened and its
+members compared one by one, those aside that are linked with the class already.
+
+What that links is contracted.  A class may also meet classes of other groups:
+the bands in which several components are left are blocks of like size in the
+same way, and each class is held against the unions of those it meets there.
+Similarities are computed on the whole sets.
 
 Two sets at the threshold itself agree on no band with a probability below
 MISS; more alike ones with a smaller one still.  Every pair that meets is
@@ -18,27 +23,29 @@ Defined cases: a null or wordless text has the empty set and is linked with
 nothing; a text of fewer words than a shingle has its whole sequence as its one
 shingle; a null doc_id has no say in a component's name, and a component without
 any other has none; repeated rows are one class; other columns are ignored or,
-in one_of_each(), kept; an empty table gives an empty result.
+in one_of_each(), kept; an empty table gives an empty result.  Rows are known by
+their places in the scan; rows that have none are written first.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, partitions, prepare, save, unpacked, whole_text
+from .common import in_place, packed, partitions, prepare, save, unpacked, whole_text
 from .components import components
 
 BANDS = 50
 #: Chance at most that two sets at the threshold agree on no band.
 MISS = 1e-6
-#: Members of a block of a group, and queries that are held against it in one task's turn.
-MEMBERS, QUERIES = 64, 512
+#: Members of a block of a group and their tokens, as expected of a hash; queries that are held against it in one turn.
+MEMBERS, TOKENS, QUERIES = 64, 4 << 20, 512
 #: Words whose hashes a worker keeps.
 CACHE_WORDS = 400_000
 
@@ -141,87 +148,147 @@ def _sets(width: int):
     return run
 
 
-def _compare(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hit = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(hit)), b.column("b").filter(pa.array(hit))], names=["a", "b"])
+class Block:
+    """Members of a group with the union of their tokens, and what is linked so far."""
 
-    return run
+    def __init__(self, percent: int):
+        self.percent, self.members, self.up = percent, [], {}
+        self.union = np.zeros(0, dtype=np.uint64)
+
+    def _find(self, comp: int) -> int:
+        while (above := self.up.get(comp, comp)) != comp:
+            comp = above
+        return comp
+
+    def _place(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where tokens belong in the union, and which of them are there."""
+        at = np.searchsorted(self.union, tokens)
+        if not len(self.union):
+            return at, np.zeros(len(tokens), dtype=bool)
+        return at, self.union[np.minimum(at, len(self.union) - 1)] == tokens
+
+    def add(self, cid: int, comp: int, tokens: np.ndarray) -> None:
+        self.members.append((cid, comp, tokens))
+        at, there = self._place(tokens)
+        self.union = np.insert(self.union, at[~there], tokens[~there])
+
+    def ask(self, comp: int, tokens: np.ndarray) -> Iterator[int]:
+        """Members that a class of this component is linked with, one of each component at most."""
+        # an intersection with a member is at most the overlap with the union, and must reach percent of the class's size
+        if 100 * int(self._place(tokens)[1].sum()) < self.percent * len(tokens):
+            return
+        for other, its, theirs in self.members:
+            mine, its = self._find(comp), self._find(its)
+            if mine != its and similar(tokens, theirs, self.percent):
+                self.up[its] = mine
+                yield other
 
 
-def _open_groups(percent: int):
-    """Rows sorted by (group, salt, kind): first a group's members (kind 0), then the classes held against it."""
+#: What a row of the matrix does: stand in the block, ask it, or ask it and then stand in it.
+STANDS, ASKS, BOTH = 0, 1, 2
+
+
+def _open_blocks(percent: int):
+    """Rows of (a block's key columns, kind, cid, comp, tokens), sorted by key and kind, to links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, members, union = None, [], None
+        key, block = None, None
         for b in batches:
             left, right = [], []
-            for *group, kind, cid, comp, raw in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
-                if group != at:
-                    at, members, union = group, [], None
+            for *at, kind, cid, comp, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if at != key:
+                    key, block = at, Block(percent)
                 tokens = np.frombuffer(raw, np.uint64)
-                if not kind:
-                    members.append((cid, comp, tokens))
-                    continue
-                if union is None:
-                    union = np.unique(np.concatenate([t for *_, t in members]))
-                # a member's intersection with it is at most its overlap with the union, and must reach percent of its size
-                k = np.searchsorted(union, tokens)
-                k[k == len(union)] = 0
-                if 100 * int((union[k] == tokens).sum()) < percent * len(tokens):
-                    continue
-                for other, its, theirs in members:
-                    if its != comp and similar(tokens, theirs, percent):
+                if kind != STANDS:
+                    for other in block.ask(comp, tokens):
                         left.append(cid)
                         right.append(other)
+                if kind != ASKS:
+                    block.add(cid, comp, tokens)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _links(matrix: DataFrame, key: list[str], percent: int) -> DataFrame:
+    rows = matrix.select(*key, "kind", "cid", "comp", "tokens")
+    rows = rows.repartition(partitions(matrix.sparkSession), *key).sortWithinPartitions(*key, "kind", "cid")
+    return rows.mapInArrow(_open_blocks(percent), "a long, b long")
+
+
+def _blocks() -> Column:
+    """Blocks into which a group of classes is cut."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS), F.ceil(F.sum("n") / TOKENS))
+
+
+def _steps(n: Column | str) -> Column:
+    """0 to n - 1, a row for each."""
+    n = F.col(n) if isinstance(n, str) else n
+    return F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
+
+
+def _within_groups(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links inside the groups; each class is in the group of the class it meets first in most bands."""
+    led = met.where("cid <> head.cid").where(_fits(F.col("n"), F.col("head.n"), percent)).groupBy("cid", "n", F.col("head.cid").alias("leader")).agg(F.count(F.lit(1)).alias("bands"))
+    led = led.groupBy("cid", "n").agg(F.max(F.struct("bands", (-F.col("leader")).alias("least"))).alias("best")).select("cid", "n", (-F.col("best.least")).alias("leader"))
+    led = save(led, "group-members")
+    sizes = led.groupBy("leader").agg(_blocks().alias("blocks"))
+    members = led.join(sizes, "leader").select("leader", F.pmod(F.xxhash64("cid"), "blocks").alias("block"), F.lit(BOTH).alias("kind"), "cid", F.col("cid").alias("comp")).join(sets, "cid")
+    # a leader's tokens are dealt to its blocks in two steps, so that no task writes more than QUERIES of them
+    leaders = sizes.join(sets.withColumnRenamed("cid", "leader"), "leader").select("*", _steps(F.ceil(F.col("blocks") / QUERIES)).alias("part"))
+    leaders = leaders.repartition(partitions(met.sparkSession), "leader", "part")
+    leaders = leaders.select("*", _steps(F.least(F.lit(QUERIES), F.col("blocks") - F.col("part") * QUERIES)).alias("nth"))
+    leaders = leaders.select("leader", (F.col("part") * QUERIES + F.col("nth")).alias("block"), F.lit(STANDS).alias("kind"), F.col("leader").alias("cid"), F.col("leader").alias("comp"), "tokens")
+    return _links(members.unionByName(leaders), ["leader", "block"], percent)
+
+
+def _between_groups(met: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links in the bands in which several components meet."""
+    named = met.select("band", "cid", "n").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    per = named.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"))
+    mixed = per.groupBy("band").agg(F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    # blocks of classes of like size; a large component of a band has blocks of its own
+    named = named.join(mixed, "band").join(per, ["band", "comp"]).withColumn("of", F.when(F.col("k") > MEMBERS, F.col("comp")).otherwise(F.lit(-1)))
+    named = named.withColumn("tier", F.floor(F.log("n") / math.log(100 / percent))) if percent < 100 else named.withColumn("tier", F.col("n"))
+    cut = named.groupBy("band", "of", "tier").agg(_blocks().alias("blocks"))
+    named = named.join(cut, ["band", "of", "tier"]).select("band", "of", "tier", F.pmod(F.xxhash64("cid"), "blocks").alias("block"), "cid", "n", "comp")
+    named = save(named, "blocks")
+    key = ["band", "of", "tier", "block"]
+    blocks = named.groupBy(*key).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    # a class asks its own block and those behind it, unless all there are of its component or none is of fitting size
+    place = F.struct("of", "tier", "block")
+    asking = named.select("band", place.alias("own"), "cid", "n", "comp").join(blocks, "band").where(place >= F.col("own"))
+    asking = asking.where("NOT (c0 = comp AND c1 = comp)").where(F.expr(f"100 * high >= {percent} * n AND {percent} * low <= 100 * n"))
+    asking = save(asking.select(*key, "cid", "comp"), "asking")
+    turns = asking.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("turns"))
+    inside = named.join(turns, key).select(*key, _steps("turns").alias("turn"), F.lit(STANDS).alias("kind"), "cid", "comp")
+    queries = asking.join(turns, key).select(*key, F.pmod(F.xxhash64("cid"), "turns").alias("turn"), F.lit(ASKS).alias("kind"), "cid", "comp")
+    return _links(inside.unionByName(queries).join(sets, "cid"), [*key, "turn"], percent)
+
+
+def _fits(a: Column, b: Column, percent: int) -> Column:
+    """Whether sets of these sizes may be similar."""
+    return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
+
+
 def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): row, doc_id, n_shingles, sig of every row; sig, cid, comp, first (the component's least doc_id) of every class."""
     spark = docs.sparkSession
     prepare(spark)
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     rows = save(texts.mapInArrow(_features(width, percent), "row long, doc_id long, n_shingles long, sig binary, bands array<long>"), "shingles")
-    classes = rows.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"))
-    classes = save(classes.withColumn("cid", F.xxhash64("sig")), "classes")
+    classes = rows.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("row").alias("cid"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"))
+    classes = save(classes, "classes")
 
     met = classes.select("cid", "n", F.explode("bands").alias("band"))
-    groups = met.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("cid", "n")).alias("head")).where("size > 1")
-    met = save(met.join(groups, "band").select("band", "cid", "n", "head"), "groups")
-    fits = lambda a, b: (F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b))
-    heads = met.where("cid <> head.cid").where(fits(F.col("n"), F.col("head.n"))).select(F.col("head.cid").alias("a"), F.col("cid").alias("b")).distinct()
-
-    wanted = met.select("cid").distinct().join(classes.select("cid", "row"), "cid")
-    sets = save(texts.join(wanted, "row").select("cid", "text").mapInArrow(_sets(width), "cid long, tokens binary"), "sets")
-    ta, tb = (sets.select(F.col("cid").alias(x), F.col("tokens").alias("t" + x)) for x in "ab")
-    links = save(heads.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_compare(percent), "a long, b long"), "head-links")
-    labels = components(links)
-
-    # bands in which several components meet
-    named = met.select("band", "cid", "n").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    per = named.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"))
-    mixed = per.groupBy("band").agg(F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    # groups: blocks of members of like size; a large component of a band has blocks of its own
-    named = named.join(mixed, "band").join(per, ["band", "comp"]).withColumn("of", F.when(F.col("k") > MEMBERS, F.col("comp")).otherwise(F.lit(-(1 << 63))))
-    nth = F.row_number().over(Window.partitionBy("band", "of").orderBy("n", "cid")) - 1
-    named = save(named.select("band", "of", F.floor(nth / MEMBERS).alias("block"), "cid", "n", "comp"), "blocks")
-    group = ["band", "of", "block"]
-    blocks = named.groupBy(*group).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    # a class asks its own block and those behind it, unless all there are of its component or none is of fitting size
-    asking = named.select("band", F.struct("of", "block").alias("own"), "cid", "n", "comp").join(blocks, "band").where(F.struct("of", "block") >= F.col("own"))
-    asking = asking.where("NOT (c0 = comp AND c1 = comp)").where(F.expr(f"100 * high >= {percent} * n AND {percent} * low <= 100 * n"))
-    asking = save(asking.select(*group, "cid", "comp"), "asking")
-    turns = asking.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("turns"))
-    inside = named.join(turns, group).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).select(*group, "salt", F.lit(0).alias("kind"), "cid", "comp")
-    queries = asking.join(turns, group).withColumn("salt", F.pmod(F.xxhash64("cid"), F.col("turns"))).select(*group, "salt", F.lit(1).alias("kind"), "cid", "comp")
-    matrix = inside.unionByName(queries).join(sets, "cid").select(*group, "salt", "kind", "cid", "comp", "tokens")
-    matrix = matrix.repartition(partitions(spark), *group, "salt").sortWithinPartitions(*group, "salt", "kind")
-    more = save(matrix.mapInArrow(_open_groups(percent), "a long, b long").distinct(), "group-links")
+    heads = met.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("cid", "n")).alias("head")).where("size > 1")
+    met = save(met.join(heads, "band").select("band", "cid", "n", "head"), "met")
+    wanted = met.select(F.col("cid").alias("row")).distinct()
+    sets = save(texts.join(wanted, "row").select(F.col("row").alias("cid"), "text").mapInArrow(_sets(width), "cid long, tokens binary"), "sets")
 
+    links = save(_within_groups(met, sets, percent), "links-within")
+    labels = components(links)
+    more = save(_between_groups(met, sets, labels, percent), "links-between")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     named = classes.select("sig", "cid", "least", "n").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
@@ -231,7 +298,7 @@ def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    rows, classes = _linked(docs, width, percent)
+    rows, classes = _linked(in_place(docs, "rows"), width, percent)
     out = rows.join(classes, "sig", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -241,6 +308,7 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
     Of rows that repeat that doc_id the first in the scan stays; a component
     whose doc_ids are all null keeps its first row."""
+    docs = in_place(docs, "rows")
     rows, classes = _linked(docs, width, percent)
     named = rows.where("n_shingles > 0").select("row", "doc_id", "sig").join(classes.select("sig", "comp"), "sig")
     heads = named.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head")).select(F.col("head.row").alias("__row"))

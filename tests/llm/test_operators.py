@@ -614,6 +614,16 @@ def test_suffix_array_dedup(table, rows, as_doc):
     assert all(passage not in (r["text"] or "") for r in left.collect())
 
 
+def test_rows_without_a_place(table, rows):
+    from widegrain.llm import jaccard_groups, suffix_dedup
+
+    docs = table(rows).repartition(3)
+    got = collect(jaccard_groups.jaccard_components(docs, 4, 85))
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == jaccard_expected(rows, 4, 85)
+    got = collect(suffix_dedup.repeat_report(docs))
+    assert Counter(tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in got) == repeats_expected(rows)
+
+
 def test_suffix_array():
     from widegrain.llm.suffix_dedup import suffix_array
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, partitions, prepare, save, unpacked, whole_text
+from .common import in_place, packed, partitions, prepare, save, unpacked, whole_text
 
 LENGTH = 200
 GRAM = 16
@@ -413,7 +413,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeat_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    rows, found, spans = _spans(docs)
+    rows, found, spans = _spans(in_place(docs, "rows"))
     removed = found.join(spans, "row").mapInArrow(_remove, "at long, n_removed long, n_spans long, kept_sha256 string")
     out = rows.select("row", "doc_id", "n_bytes", "sha256").join(removed, F.col("row") == F.col("at"), "left")
     zero = F.lit(0).cast("long")
@@ -424,6 +424,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """All rows and columns, texts without their repeated strings; n_chars, if there is one, follows the text.
 
     Characters of which only some bytes are repeated go as a whole."""
+    docs = in_place(docs, "rows")
     _, _, spans = _spans(docs)
 
     @F.pandas_udf("string")

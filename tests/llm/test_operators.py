@@ -48,6 +48,37 @@ def test_fingerprints(table, rows):
     assert sorted(mine, key=key) == sorted(expect, key=key)
 
 
+def plain_chunks(raw):
+    """The chunks byte by byte: a rolling gear hash, and at each byte the rule for the size so far."""
+    from widegrain.llm import fingerprints as op
+
+    out, start, h = [], 0, 0
+    for k, byte in enumerate(raw):
+        h = (2 * h + int(op.GEAR[byte])) % 2**32
+        size = k + 1 - start
+        bits = op.STRICT_BITS if size < op.TARGET else op.LOOSE_BITS
+        if size == op.MOST or size >= op.LEAST and h >> (32 - bits) == 0:
+            out.append(raw[start : k + 1])
+            start = k + 1
+    return out + [raw[start:]] * (start < len(raw))
+
+
+def test_chunks_against_bytes():
+    from widegrain.llm import fingerprints as op
+
+    rng = random.Random(31)
+    texts = [b"", b"a", b"a" * 3000, prose(rng, 4000).encode(), bytes(rng.randrange(256) for _ in range(20_000)), "é語🙂 ".encode() * 500, bytes(rng.choice(b"ab") for _ in range(5000))]
+    for raw in texts:
+        plain = plain_chunks(raw)
+        assert b"".join(plain) == raw and op.chunk_ends(raw) == [sum(map(len, plain[: k + 1])) for k in range(len(plain))]
+        assert sum(x & 0xFF for x in op.chunks(raw)) == sum(map(len, set(plain)))
+    for a in texts:
+        for b in (texts[3][: len(texts[3]) // 2], texts[4][5000:], b""):
+            mine, theirs = set(plain_chunks(a)), set(plain_chunks(b))
+            share = sum(map(len, mine & theirs)) / sum(map(len, mine)) if mine else float(not theirs)
+            assert abs(op.containment(op.chunks(a), op.chunks(b)) - share) < 1e-12
+
+
 def test_chunks_shift():
     from widegrain.llm import fingerprints as op
 
@@ -186,6 +217,41 @@ def test_url_filter(spark, tmp_path):
     assert all(r["verdict"] == "allow" for r in collect(op.judge_urls(pages, spark.createDataFrame([], schema))))
 
 
+def test_url_filter_on_odd_tables(spark, tmp_path, monkeypatch):
+    from widegrain.llm import urls as op
+
+    schema = "page_id long, url string, row string, key string, keys string, host string, path string, entry string, verdict string, rule string"
+    urls = [*(f"https://s{k}.hot.com/a/{k}" for k in range(300)), "https://" + "a." * 20_000 + "hot.com/b", "https://hot.com/" + "x/" * 50_000, "https://x.y.cold.org/a/b", "https://cold.org/a", "https://cold.org/a"]
+    rules = [("hot.com", "/a/", "block"), ("hot.com", "/a/", "allow"), ("s7.hot.com", "/a/7", "allow"), ("y.cold.org", "/a", "block"), (None, "/a", "block"), ("cold.org", None, "block"), *((f"h{k}.net", f"/{k}", "block") for k in range(500))]
+
+    def plain(url):
+        host, path = url[8:].partition("/")[::2]
+        fit = [(len(h + p), len(h), h + p, v) for h, p, v in rules if h and p and (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        return max(fit)[2:] if fit else (None, "allow")
+
+    listed = spark.createDataFrame(rules, "host string, path string, verdict string")
+    for name, some in (("some", urls), ("none", [])):
+        made = spark.createDataFrame([(k, u, *"abcdefgh") for k, u in enumerate(some)], schema)
+        made.write.parquet(str(tmp_path / name))
+        expect = Counter((k, *plain(u)) for k, u in enumerate(some))
+        pages = spark.read.parquet(str(tmp_path / name))
+        # from files and out of a shuffle; with a filter that lets nearly all pass; by either join
+        for docs, bits, limit in ((pages, None, op.BROADCAST_ENTRIES), (pages.repartition(3), None, 0), (pages, 512, 0)):
+            monkeypatch.setattr(op, "BROADCAST_ENTRIES", limit)
+            got = op.judge_urls(docs, listed, bits)
+            assert got.columns == ["page_id", "host", "path", "rule", "verdict"]
+            assert Counter((r["page_id"], r["rule"], r["verdict"]) for r in got.collect()) == expect
+    assert op.filter_bits(0) == op.LEAST_BITS and op.filter_bits(10**6) == 1 << 24 and op.filter_bits(10**12) == op.MOST_BITS
+
+
+def test_candidate_keys():
+    from widegrain.llm.urls import candidate_keys
+
+    assert candidate_keys("a.b.c", "/xy", (1, 3, 9), 2) == ["b.c\t/", "b.c\t/xy", "c\t/", "c\t/xy"]
+    assert candidate_keys("a.b.c", "/xy", (1,), 3) == candidate_keys("a.b.c", "/xy", (1,), 7) == ["a.b.c\t/", "b.c\t/", "c\t/"]
+    assert candidate_keys("", "", (0,), 3) == [] and candidate_keys("a", "", (1,), 3) == [] and candidate_keys("a", "/", (1,), 0) == []
+
+
 def test_blocked_bloom():
     import numpy as np
 

@@ -9,9 +9,10 @@ positives.  A URL that no entry fits is allowed.
 
 Defined cases: host and path of a null URL, and of one without "://", are
 empty, and nothing fits them; repeated rows are judged one by one; page_id may
-be null or repeat; other columns are ignored; an empty table gives an empty
-result, an empty list allows everything; of entries of equal length the one with
-the longer host decides.
+be null or repeat; whole URLs are read, however long; other columns are ignored;
+an empty table gives an empty result, an empty list allows everything; entries
+without a host or path fit nothing; of entries of equal length the one with the
+longer host decides, of equal entries the one with the greater verdict (block).
 """
 
 from __future__ import annotations
@@ -24,13 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import in_place, partitions, prepare, save
 
-#: Blocks of 512 bits; a key sets PROBES bits of one block.  The filter's size is fixed by its parameter.
+#: Blocks of 512 bits; a key sets PROBES bits of one block.
 BLOCK_BITS, PROBES = 512, 6
-#: A list of up to so many entries is broadcast for the exact join; a longer one is shuffled, with salted keys.
+#: Bits for each entry, and the least and the most that a filter takes; a list beyond that leaves the join more to remove.
+ENTRY_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
+#: A list of up to so many entries is broadcast for the exact join; a longer one is shuffled, but for keys that very many rows have.
 BROADCAST_ENTRIES = 100_000
-SALTS = 16
 #: Letters whose case a host ignores.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -67,34 +69,40 @@ def _hashes(keys: list[str]) -> np.ndarray:
     return np.fromiter((h(k.encode()) for k in keys), dtype=np.uint64, count=len(keys))
 
 
-def candidate_keys(host: str, path: str, lengths: tuple[int, ...]) -> list[str]:
-    """What could be listed for a URL: each suffix of the host in whole labels, with path prefixes."""
-    labels = host.split(".")
+def candidate_keys(host: str, path: str, lengths: tuple[int, ...], labels: int) -> list[str]:
+    """What could be listed for a URL: each suffix of the host of at most so many whole labels, with path prefixes."""
+    last = host.rsplit(".", labels)[-labels:] if labels else []
     prefixes = [path[:n] for n in lengths if n <= len(path)]
-    return [".".join(labels[k:]) + "\t" + p for k in range(len(labels)) for p in prefixes] if host else []
+    whole = [host] if host.count(".") < labels else []
+    return [h + "\t" + p for h in [*whole, *(".".join(last[k:]) for k in range(len(whole), len(last)))] for p in prefixes] if host else []
+
+
+def filter_bits(entries: int) -> int:
+    """The power of two that gives each entry ENTRY_BITS, within the bounds."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (ENTRY_BITS * entries - 1).bit_length()))
 
 
 def build_filter(entries: DataFrame, bits: int) -> tuple[BlockedBloom, tuple[int, ...], int]:
-    """The filter of the listed keys, the path lengths, and the number of entries.
+    """The filter of the listed keys, the path lengths, and how many labels the listed hosts have at most.
 
-    Each task makes a filter of the fixed size; they are joined by OR, pairs at
-    a time, so the driver gets one."""
+    Each task makes a filter of the fixed size; the driver joins them by OR, one
+    at a time."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, lengths, n = BlockedBloom(bits), set(), 0
+        bloom, lengths, labels = BlockedBloom(bits), set(), 0
         for b in batches:
             hosts, paths = b.column(0).to_pylist(), b.column(1).to_pylist()
             bloom.add(_hashes([f"{h}\t{p}" for h, p in zip(hosts, paths, strict=True)]))
             lengths.update(map(len, paths))
-            n += len(hosts)
-        yield pa.RecordBatch.from_arrays([pa.array([bloom.data.tobytes()], pa.binary()), pa.array([sorted(lengths)], pa.list_(pa.int32())), pa.array([n], pa.int64())], names=["bits", "lengths", "n"])
+            labels = max([labels, *(h.count(".") + 1 for h in hosts)])
+        yield pa.RecordBatch.from_arrays([pa.array([bloom.data.tobytes()], pa.binary()), pa.array([sorted(lengths)], pa.list_(pa.int32())), pa.array([labels], pa.int64())], names=["bits", "lengths", "labels"])
 
-    whole, lengths, n = BlockedBloom(bits), set(), 0
-    for row in entries.select("host", "path").mapInArrow(part, "bits binary, lengths array<int>, n long").toLocalIterator():
+    whole, lengths, labels = BlockedBloom(bits), set(), 0
+    for row in entries.select("host", "path").mapInArrow(part, "bits binary, lengths array<int>, labels long").toLocalIterator():
         whole.data |= np.frombuffer(row["bits"], dtype=np.uint64).reshape(whole.data.shape)
         lengths.update(row["lengths"])
-        n += row["n"]
-    return whole, tuple(sorted(lengths)), n
+        labels = max(labels, row["labels"])
+    return whole, tuple(sorted(lengths)), labels
 
 
 def split_url(url):
@@ -105,22 +113,38 @@ def split_url(url):
     return host, path
 
 
-def judge_urls(pages: DataFrame, entries: DataFrame, bits: int = 1 << 20) -> DataFrame:
+def _met(possible: DataFrame, listed: DataFrame) -> DataFrame:
+    """The exact join with a list that is too long to broadcast.
+
+    Keys that more than a partition's share of the rows have are fewer than the
+    partitions; their entries are broadcast, and the others' rows spread over the
+    shuffle."""
+    possible = save(possible, "urls")
+    share = possible.count() // partitions(possible.sparkSession)
+    many = save(possible.groupBy("key").count().where(F.col("count") > share).select("key"), "urls")
+    hot = possible.join(F.broadcast(many), "key", "left_semi").join(F.broadcast(listed.join(F.broadcast(many), "key", "left_semi")), "key", "left")
+    return hot.unionByName(possible.join(F.broadcast(many), "key", "left_anti").join(listed, "key", "left"))
+
+
+def judge_urls(pages: DataFrame, entries: DataFrame, bits: int | None = None) -> DataFrame:
     """Verdicts for all rows of pages(page_id, url); entries has host, path, verdict.
 
-    Rows without a possible hit take no part in the join.  Rows are told apart
-    by their place in the scan, which a repeated attempt gives them again."""
+    The filter has so many bits, by default as many as the list needs.  Rows
+    without a possible hit take no part in the join.  Rows are told apart by
+    their place in the scan, which a repeated attempt gives them again; rows that
+    have none are written first."""
     prepare(pages.sparkSession)
-    entries = entries.select("host", "path", "verdict")
-    bloom, lengths, n = build_filter(entries, bits)
+    entries = entries.select("host", "path", "verdict").where("host IS NOT NULL AND path IS NOT NULL")
+    n = entries.count()
+    bloom, lengths, labels = build_filter(entries, bits or filter_bits(n))
     host, path = split_url(F.col("url"))
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url")).withColumn("host", host).withColumn("path", path)
+    rows = in_place(pages.select("page_id", F.col("url").cast("string").alias("url")), "urls").withColumn("host", host).withColumn("path", path)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, ends = [], []
             for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True):
-                keys.extend(candidate_keys(h, p, lengths))
+                keys.extend(candidate_keys(h, p, lengths, labels))
                 ends.append(len(keys))
             hit = bloom.has(_hashes(keys)).tolist()
             found, start = [], 0
@@ -131,12 +155,8 @@ def judge_urls(pages: DataFrame, entries: DataFrame, bits: int = 1 << 20) -> Dat
 
     asked = rows.select(F.monotonically_increasing_id().alias("row"), "page_id", "host", "path").mapInArrow(ask, f"row long, page_id {pages.schema['page_id'].dataType.simpleString()}, host string, path string, keys array<string>")
     listed = entries.select(F.concat_ws("\t", "host", "path").alias("key"), F.struct((F.length("host") + F.length("path")).alias("n"), F.length("host").alias("h"), F.concat("host", "path").alias("rule"), "verdict").alias("entry"))
-    possible = asked.where(F.size("keys") > 0).withColumn("key", F.explode("keys"))
-    if n <= BROADCAST_ENTRIES:
-        joined = possible.join(F.broadcast(listed), "key", "left")
-    else:
-        possible = possible.withColumn("salt", F.pmod(F.hash("row"), F.lit(SALTS)))
-        joined = possible.join(listed.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS))))), ["key", "salt"], "left")
+    possible = asked.where(F.size("keys") > 0).withColumn("key", F.explode("keys")).drop("keys")
+    joined = possible.join(F.broadcast(listed), "key", "left") if n <= BROADCAST_ENTRIES else _met(possible, listed)
     best = joined.groupBy("row").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), F.max("entry").alias("entry"))
     none = asked.where(F.size("keys") == 0).select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
     return none.unionByName(best.select("page_id", "host", "path", F.col("entry.rule").alias("rule"), F.coalesce("entry.verdict", F.lit("allow")).alias("verdict")))

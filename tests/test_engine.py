@@ -20,8 +20,10 @@ from widegrain.plans.infer import by_key, by_name, by_tokens, value_candidates
 from widegrain.plans.select import Policy, explicit, greedy, lattice, profiles
 from widegrain.plans.tune import autotune, curve, knee, render_curve
 from widegrain.reports import quality
+from widegrain.reports.grading import CLOSE, EXACT, EXECUTED, FAILED, PARTIAL, Figures, figures_of, grade, judge
 from widegrain.reports.information import measure, table_bits
 from widegrain.reports.text import field_cost, render_catalog, render_model, render_report, render_text
+from widegrain.sources.app_schema import read_rails, read_sqlite
 from widegrain.sources.catalog import from_frames
 from widegrain.sources.ddl import read_ddl, write_ddl
 from widegrain.sources.goldset import Case, load_jsonl
@@ -374,3 +376,77 @@ def test_plan_reads_only_what_it_needs(spark, tmp_path):
 
 def test_field_kinds(wide):
     assert {f.source.kind for m in wide.layer.models for f in m.fields} >= {FieldKind.BASE, FieldKind.JOINED, FieldKind.AGGREGATED}
+
+
+def test_grades_of_values(spark):
+    rows = spark.createDataFrame([("a", 1.5, "1,000"), ("b", None, "x"), ("b", float("nan"), None)], "k string, v double, s string")
+    assert figures_of(rows).first()[:2] == (3, 1001.5)
+    same = grade(rows, lambda: rows.orderBy(F.desc("v")).toDF("x", "y", "z").repartition(3))
+    assert same.verdict == EXACT and same.same_rows
+    # totals match, rows don't; a repeated row counts
+    other = grade(rows, lambda: rows.withColumn("k", F.lit("c")))
+    assert other.verdict == EXACT and not other.same_rows
+    assert not grade(rows.limit(1), lambda: rows.limit(1).union(rows.limit(1))).same_rows
+    assert grade(rows, lambda: rows.select("v").union(spark.range(1).select(F.lit(960.0)))).verdict == CLOSE
+    assert grade(rows, lambda: rows.limit(1).select("v")).verdict == PARTIAL
+    assert grade(rows, lambda: rows.limit(0)).verdict == EXECUTED
+    assert grade(rows.limit(0), lambda: rows.limit(0).select("k")).verdict == EXACT
+    failed = grade(rows, lambda: rows.select("nope"))
+    assert failed.verdict == FAILED and "nope" in failed.error and failed.wanted_rows == 3
+    assert grade(rows, lambda: rows.select(F.expr("1 / (length(k) - 1)"))).verdict == FAILED
+    assert judge(Figures(2, -5.0, ""), Figures(2, -5.05, "")) == EXACT and judge(Figures(2, -5.0, ""), Figures(2, -5.2, "")) == PARTIAL
+
+
+def test_rails_schema():
+    made = read_rails("""
+ActiveRecord::Schema[7.1].define(version: 1) do
+  create_table "companies", force: :cascade do |t|
+    t.string "name", null: false
+    t.decimal "worth", precision: 12, scale: 2, comment: "in cents"
+    t.index ["name"], name: "by_name"
+  end
+  create_table "posts", id: :uuid, default: -> { "gen()" }, force: :cascade do |t|
+    t.bigint "company_id"
+    t.bigint "writer_id"
+    t.jsonb "extra", default: {}
+  end
+  create_table "tags_posts", primary_key: ["tag", "post"], force: :cascade do |t|
+    t.integer "tag", null: false
+    t.integer "post", null: false
+  end
+  create_table "logs", id: false, force: :cascade do |t|
+    t.datetime "at"
+  end
+  add_foreign_key "posts", "companies"
+  add_foreign_key "posts", "companies", column: "writer_id", on_delete: :cascade
+  add_foreign_key "posts", "nowhere"
+  add_foreign_key "logs", "companies"
+end
+""")
+    tables = {t.name: t for t in made.tables}
+    assert {n: t.primary_key for n, t in tables.items()} == {"companies": ("id",), "posts": ("id",), "tags_posts": ("tag", "post"), "logs": ()}
+    assert tables["companies"].column_names == ("id", "name", "worth") and not tables["companies"].column("name").nullable and tables["companies"].column("worth").comment == "in cents"
+    assert tables["companies"].column("worth").dtype.simpleString() == "decimal(12,2)" and tables["posts"].column("id").is_textual and tables["logs"].column_names == ("at",)
+    assert sorted((e.child, e.child_cols, e.parent, e.parent_cols) for e in made.edges) == [("posts", ("company_id",), "companies", ("id",)), ("posts", ("writer_id",), "companies", ("id",))]
+
+
+def test_sqlite_catalogue(tmp_path):
+    import sqlite3
+
+    path = str(tmp_path / "shop.db")
+    db = sqlite3.connect(path)
+    db.executescript("""
+        CREATE TABLE makers (id INTEGER PRIMARY KEY, name TEXT NOT NULL);
+        CREATE TABLE goods (maker INT REFERENCES makers, code TEXT, price DECIMAL(8,2), PRIMARY KEY (maker, code));
+        CREATE TABLE "sold items" (n INTEGER PRIMARY KEY AUTOINCREMENT, m INT, c TEXT, FOREIGN KEY (m, c) REFERENCES Goods (maker, code));
+        INSERT INTO makers VALUES (1, 'a'), (2, 'b');
+        CREATE VIEW seen AS SELECT * FROM makers;
+    """)
+    db.close()
+    made = read_sqlite(path)
+    tables = {t.name: t for t in made.tables}
+    assert {n: (t.primary_key, t.rows) for n, t in tables.items()} == {"makers": (("id",), 2), "goods": (("maker", "code"), 0), "sold items": (("n",), 0)}
+    assert not tables["makers"].column("name").nullable and tables["goods"].column("price").dtype.simpleString() == "decimal(8,2)"
+    assert sorted((e.child, e.child_cols, e.parent, e.parent_cols) for e in made.edges) == [("goods", ("maker",), "makers", ("id",)), ("sold items", ("m", "c"), "goods", ("maker", "code"))]
+    with pytest.raises(sqlite3.OperationalError):
+        read_sqlite(str(tmp_path / "none.db"))

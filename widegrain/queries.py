@@ -20,7 +20,7 @@ from .plans.expand import ExpansionError
 from .plans.fold import fold
 from .plans.infer import by_key, by_name, by_tokens
 from .plans.select import explicit, greedy, lattice, profiles
-from .reports import quality
+from .reports import grading, quality
 from .reports.information import column_bits
 from .reports.text import kind_of
 from .sources.catalog import from_frames, star_schema
@@ -323,6 +323,48 @@ def compression_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([r for r in quality.compression(orders_layer(spark, sf_dir).layer) if r[0] == "nation"], "model string, table_name string, kind string, fields int")
 
 
+#: Queries over the wide model, graded by the sums of all orders by nation.
+GRADED = {
+    "same": "SELECT n_name, SUM(o_totalprice) AS revenue FROM orders GROUP BY n_name",
+    "most": "SELECT n_name, SUM(o_totalprice) AS revenue FROM orders WHERE o_totalprice >= 20000 GROUP BY n_name",
+    "one_status": "SELECT n_name, SUM(o_totalprice) AS revenue FROM orders WHERE o_orderstatus = 'F' GROUP BY n_name",
+    "nothing": "SELECT n_name, SUM(o_totalprice) AS revenue FROM orders WHERE o_totalprice < 0 GROUP BY n_name",
+    "unreadable": "SELECT n_name, SUM(no_such_field) AS revenue FROM orders GROUP BY n_name",
+}
+
+
+def value_match_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide, tables = orders_layer(spark, sf_dir), star_schema(spark, sf_dir)
+    orders, customer, nation = (tables.table(n).frame(spark) for n in ("orders", "customer", "nation"))
+    wanted = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.sum("o_totalprice").alias("total"))
+    out = []
+    for name, sql in GRADED.items():
+        g = grading.grade(wanted, lambda sql=sql: wide.query(sql))
+        out.append((name, g.verdict, g.wanted_rows, g.got_rows, g.wanted_total, g.got_total, g.same_rows))
+    return spark.createDataFrame(out, "name string, verdict string, wanted_rows long, got_rows long, wanted_total double, got_total double, same_rows boolean")
+
+
+#: Only what a query that can't be read gives is stated; all other values are computed.
+GRADED_SQL = """
+WITH priced AS (SELECT n_name, o_totalprice AS x, o_orderstatus AS s FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+sums AS (
+  SELECT 'same' AS name, n_name, SUM(x) AS t FROM priced GROUP BY 2
+  UNION ALL SELECT 'most', n_name, SUM(x) FROM priced WHERE x >= 20000 GROUP BY 2
+  UNION ALL SELECT 'one_status', n_name, SUM(x) FROM priced WHERE s = 'F' GROUP BY 2
+  UNION ALL SELECT 'nothing', n_name, SUM(x) FROM priced WHERE x < 0 GROUP BY 2),
+figures AS (
+  SELECT name, COUNT(n_name) AS n, ROUND(COALESCE(SUM(t), 0), 2) AS total, STRING_AGG(n_name || ROUND(t, 4), ',' ORDER BY n_name) AS all_rows
+  FROM (VALUES ('same'), ('most'), ('one_status'), ('nothing')) AS v(name) LEFT JOIN sums USING (name) GROUP BY name)
+SELECT g.name,
+       CASE WHEN g.n = w.n AND (w.n = 0 OR ABS(w.total - g.total) < 0.1) THEN 'EXACT_VALUE_MATCH'
+            WHEN w.total > 0 AND g.total > 0 AND ABS(w.total - g.total) / GREATEST(1, w.total) < 0.05 THEN 'CLOSE_VALUE_MATCH'
+            WHEN g.n > 0 THEN 'PARTIAL_ROW_MATCH' ELSE 'EXEC_SUCCESS' END AS verdict,
+       w.n AS wanted_rows, g.n AS got_rows, w.total AS wanted_total, g.total AS got_total, COALESCE(g.all_rows, '') = COALESCE(w.all_rows, '') AS same_rows
+FROM figures g, figures w WHERE w.name = 'same'
+UNION ALL SELECT 'unreadable', 'FAIL', n, 0, total, 0, FALSE FROM figures WHERE name = 'same'
+"""
+
+
 REJECTED = {
     "unparseable": "SELEC 1",
     "cte_shadows": "WITH orders AS (SELECT 1 AS x) SELECT x FROM orders",
@@ -484,6 +526,7 @@ FRAMES: dict[str, tuple[Query, str | None]] = {
     "nested_types": (nested_types, "SELECT n_name, CAST(COUNT(DISTINCT c_mktsegment) AS INTEGER) AS segments, (SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT unnest(list_distinct(list(o_orderstatus))) AS s)) AS statuses, COUNT(*) FILTER (o_orderstatus = 'O') AS open_orders, n_name AS again FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"),
     "registered_function": (with_function, "SELECT n_name[1] AS letter, COUNT(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"),
     "named_parameters": (with_parameters, "SELECT c_mktsegment, CAST(SUM(k) AS BIGINT) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN (SELECT l_orderkey, COUNT(*) AS k FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_totalprice > 150000 GROUP BY 1"),
+    "value_match_grades": (value_match_grades, GRADED_SQL),
     "streamed_rollup": (streamed_rollup, "SELECT strftime(ts, '%Y%m%d') AS day, event_type, ROUND(SUM(value), 2) AS value, COUNT(*) AS row_count FROM events GROUP BY 1, 2"),
 }
 

@@ -326,13 +326,10 @@ def _dense(bins, toxic, counts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def calibrate_on_all(model: Model, labelled: DataFrame, fitted: dict[tuple[str | None, int], int]) -> bool:
-    """Set shift, scale and thresholds by all rows of labelled (text, lang, toxic); False if a class is missing.
+    """Set shift, scale and thresholds by all rows of labelled (bin, lang, toxic); False if a class is missing.
 
     fitted has the number of documents by language and class that the model was fitted on."""
-    spark = labelled.sparkSession
-    handle = spark.sparkContext.broadcast(model)
-    logit = F.greatest(F.lit(-BINS_END), F.least(F.lit(BINS_END), score_column(handle, logits=True)("text")))
-    counts = labelled.select("lang", "toxic", F.floor(logit * BINS).cast("int").alias("bin")).groupBy("lang", "toxic", "bin").agg(F.count("*").alias("n")).persist()
+    counts = labelled.groupBy("lang", "toxic", "bin").agg(F.count("*").alias("n")).persist()
     whole = counts.groupBy("toxic", "bin").agg(F.sum("n").alias("n")).toArrow()
     bins, held = _dense(whole.column("bin"), whole.column("toxic"), whole.column("n"))
     have = held.sum(axis=0) if len(bins) else np.zeros(2)
@@ -360,7 +357,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on a bounded sample of the rows that may be learned from and calibrate on all others.
 
     The sample's ids come from the labels alone and are broadcast (their number
-    is bounded); the others meet their labels in a join and leave counts."""
+    is bounded); the others are scored where their texts lie, so that only ids,
+    languages and scores go to the join with the labels, which leaves counts."""
     spark = docs.sparkSession
     allowed = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(remainder("doc_id", 3) != 1)
     pick = lambda label, n: allowed.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
@@ -375,7 +373,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(np.zeros((BUCKETS, WIDTH), np.float32), [np.zeros((s, WIDTH, FILTERS), np.float32) for s in SPANS], np.zeros(len(SPANS) * FILTERS, np.float32), np.zeros(len(SPANS) * FILTERS, np.float32), trained=False)
     model = fit([r["text"] for r in fitted], [r["toxic"] for r in fitted])
     seen = spark.createDataFrame([(r["doc_id"],) for r in fitted], "doc_id long")
-    others = texts.join(allowed.where(F.col("toxic").isin(0, 1)).join(F.broadcast(seen), "doc_id", "left_anti"), "doc_id")
+    handle = spark.sparkContext.broadcast(model)
+    logit = F.greatest(F.lit(-BINS_END), F.least(F.lit(BINS_END), score_column(handle, logits=True)("text")))
+    scored = texts.where(remainder("doc_id", 3) != 1).select("doc_id", "lang", F.floor(logit * BINS).cast("int").alias("bin"))
+    others = scored.join(allowed.where(F.col("toxic").isin(0, 1)).join(F.broadcast(seen), "doc_id", "left_anti"), "doc_id")
     if not calibrate_on_all(model, others, Counter((r["lang"], r["toxic"]) for r in fitted)):
         return calibrate(model, [r["text"] for r in got], [r["toxic"] for r in got], [r["lang"] for r in got])
     return model

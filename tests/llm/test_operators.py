@@ -630,6 +630,49 @@ def test_block_opens_what_qualifies(monkeypatch):
     assert list(block.ask(7, np.arange(20).astype(np.uint64))) == [0, 1]
 
 
+def test_jaccard_large_bands(spark, table, as_doc, monkeypatch):
+    from widegrain.llm import jaccard_groups as op
+
+    rng = random.Random(4)
+    base, docs = prose(rng, 150).split(), []
+    for k in range(60):  # near copies, many of which meet without being linked
+        w = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(1000)}"
+        docs.append(as_doc(k, " ".join(w)))
+    expected = jaccard_expected(docs, 5, 80)
+    rows, save = {}, op.save
+
+    def counted(df, tag):
+        out = save(df, tag)
+        rows[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(op, "save", counted)
+    monkeypatch.setattr(op, "MEMBERS", 2)
+    for queries in (512, 8):
+        monkeypatch.setattr(op, "QUERIES", queries)
+        got = collect(op.jaccard_components(table(docs), 5, 80))
+        assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == expected
+        if queries == 512:  # a band of so few classes is one block, whose members ask no other
+            assert rows["blocks"] > 60 and rows["asking"] == 0
+
+
+def test_block_compares_what_is_linked(monkeypatch):
+    import numpy as np
+
+    from widegrain.llm import jaccard_groups as op
+
+    compared = []
+    similar = op.similar
+    monkeypatch.setattr(op, "similar", lambda a, b, percent: compared.append(1) or similar(a, b, percent))
+    block = op.Block(80)
+    for k in range(40):  # each shares 80 of its 100 tokens with all others: enough for the union, not for a link
+        block.add(k, k, np.unique(np.append(np.arange(80), np.arange(1000 + 20 * k, 1020 + 20 * k))).astype(np.uint64))
+    assert not list(block.ask(99, np.arange(100).astype(np.uint64))) and not compared
+    assert list(block.ask(99, np.append(np.arange(80), np.arange(1100, 1119)).astype(np.uint64))) == [5] and len(compared) == 1
+
+
 def test_components_with_hubs(spark, monkeypatch):
     from widegrain.llm import components as op
 

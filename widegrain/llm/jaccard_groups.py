@@ -149,35 +149,54 @@ def _sets(width: int):
 
 
 class Block:
-    """Members of a group with the union of their tokens, and what is linked so far."""
+    """Members of a group with the union of their tokens, whose each of them is, and what is linked so far."""
 
     def __init__(self, percent: int):
         self.percent, self.members, self.up = percent, [], {}
-        self.union = np.zeros(0, dtype=np.uint64)
+        #: The tokens of the first members in order, and by their places whose they are; the sizes of these members.
+        self._placed, self._owners, self._sizes = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
 
     def _find(self, comp: int) -> int:
         while (above := self.up.get(comp, comp)) != comp:
             comp = above
         return comp
 
-    def _place(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where tokens belong in the union, and which of them are there."""
-        at = np.searchsorted(self.union, tokens)
-        if not len(self.union):
-            return at, np.zeros(len(tokens), dtype=bool)
-        return at, self.union[np.minimum(at, len(self.union) - 1)] == tokens
+    def _place(self, wait: int = 0) -> None:
+        """Put the tokens of all members in order, unless no more than so many of them wait for it."""
+        have, late = len(self._sizes), [tokens for _, _, tokens in self.members[len(self._sizes) :]]
+        if len(late) <= wait:
+            return
+        sizes = np.array([len(t) for t in late], dtype=np.int64)
+        tokens = np.concatenate([self._placed, *late])
+        owners = np.concatenate([self._owners, np.repeat(np.arange(have, len(self.members), dtype=np.int32), sizes)])
+        order = np.argsort(tokens, kind="stable")
+        self._placed, self._owners, self._sizes = tokens[order], owners[order], np.concatenate([self._sizes, sizes])
+
+    @property
+    def union(self) -> np.ndarray:
+        self._place()
+        return np.unique(self._placed)
 
     def add(self, cid: int, comp: int, tokens: np.ndarray) -> None:
         self.members.append((cid, comp, tokens))
-        at, there = self._place(tokens)
-        self.union = np.insert(self.union, at[~there], tokens[~there])
+
+    def _may_be_linked(self, tokens: np.ndarray) -> list[int]:
+        """Places of the members that are similar, and of those whose tokens aren't in order yet."""
+        self._place(wait=max(8, len(self._sizes) // 8))
+        first, end = np.searchsorted(self._placed, tokens), np.searchsorted(self._placed, tokens, side="right")
+        first, many = first[end > first], (end - first)[end > first]
+        late = list(range(len(self._sizes), len(self.members)))
+        # an intersection with a member is at most the overlap with the union, and must reach percent of the class's size
+        if 100 * len(many) < self.percent * len(tokens):
+            return late
+        at = np.arange(many.sum()) + np.repeat(first - np.cumsum(many) + many, many)
+        common = np.bincount(self._owners[at], minlength=len(self._sizes))
+        return np.flatnonzero(100 * common >= self.percent * (len(tokens) + self._sizes - common)).tolist() + late
 
     def ask(self, comp: int, tokens: np.ndarray) -> Iterator[int]:
         """Members that a class of this component is linked with, one of each component at most."""
-        # an intersection with a member is at most the overlap with the union, and must reach percent of the class's size
-        if 100 * int(self._place(tokens)[1].sum()) < self.percent * len(tokens):
-            return
-        for other, its, theirs in self.members:
+        for k in self._may_be_linked(tokens):
+            other, its, theirs = self.members[k]
             mine, its = self._find(comp), self._find(its)
             if mine != its and similar(tokens, theirs, self.percent):
                 self.up[its] = mine
@@ -221,6 +240,14 @@ def _blocks() -> Column:
     return F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS), F.ceil(F.sum("n") / TOKENS))
 
 
+def _tiles() -> Column:
+    """Blocks into which classes that have to be held against each other are cut.
+
+    The greater a band, the greater they are, so that the rows in which each
+    class asks each block grow with the power 1.5 of a band, not with its square."""
+    return F.greatest(F.ceil(F.sqrt(F.count(F.lit(1)) / QUERIES)), F.ceil(F.sum("n") / TOKENS))
+
+
 def _steps(n: Column | str) -> Column:
     """0 to n - 1, a row for each."""
     n = F.col(n) if isinstance(n, str) else n
@@ -245,25 +272,29 @@ def _within_groups(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _between_groups(met: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Links in the bands in which several components meet."""
     named = met.select("band", "cid", "n").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    per = named.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"))
-    mixed = per.groupBy("band").agg(F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    # blocks of classes of like size; a large component of a band has blocks of its own
-    named = named.join(mixed, "band").join(per, ["band", "comp"]).withColumn("of", F.when(F.col("k") > MEMBERS, F.col("comp")).otherwise(F.lit(-1)))
-    named = named.withColumn("tier", F.floor(F.log("n") / math.log(100 / percent))) if percent < 100 else named.withColumn("tier", F.col("n"))
-    cut = named.groupBy("band", "of", "tier").agg(_blocks().alias("blocks"))
-    named = named.join(cut, ["band", "of", "tier"]).select("band", "of", "tier", F.pmod(F.xxhash64("cid"), "blocks").alias("block"), "cid", "n", "comp")
+    per = named.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("tokens"))
+    mixed = per.groupBy("band").agg(F.count(F.lit(1)).alias("comps"), ((F.sum("k") > QUERIES) | (F.sum("tokens") > TOKENS)).alias("large")).where("comps > 1")
+    # a band is one block; a large one is cut into blocks of classes of like size, and a large component of it has blocks of its own
+    named = named.join(mixed, "band").join(per.drop("tokens"), ["band", "comp"]).withColumn("of", F.when(F.col("large") & (F.col("k") > MEMBERS), F.col("comp")).otherwise(F.lit(-1)))
+    tier = F.floor(F.log("n") / math.log(100 / percent)) if percent < 100 else F.col("n")
+    named = named.withColumn("tier", F.when(F.col("large"), tier).otherwise(F.lit(-1)))
+    cut = named.groupBy("band", "of", "tier").agg(_tiles().alias("blocks"))
+    named = named.join(cut, ["band", "of", "tier"]).select("band", "of", "tier", F.pmod(F.xxhash64("cid"), "blocks").alias("block"), "cid", "n", "comp", "large")
     named = save(named, "blocks")
     key = ["band", "of", "tier", "block"]
     blocks = named.groupBy(*key).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    # a class asks its own block and those behind it, unless all there are of its component or none is of fitting size
+    # a block's members ask each other, unless all are of one component
+    own = named.join(blocks.where("c0 <> c1"), key, "left_semi").select(*key, F.lit(0).cast("long").alias("turn"), F.lit(BOTH).alias("kind"), "cid", "comp")
+    # and a class of a large band asks the blocks behind its own, unless all there are of its component or none is of fitting size
     place = F.struct("of", "tier", "block")
-    asking = named.select("band", place.alias("own"), "cid", "n", "comp").join(blocks, "band").where(place >= F.col("own"))
+    asking = named.where("large").select("band", place.alias("own"), "cid", "n", "comp").join(blocks, "band").where(place > F.col("own"))
     asking = asking.where("NOT (c0 = comp AND c1 = comp)").where(F.expr(f"100 * high >= {percent} * n AND {percent} * low <= 100 * n"))
     asking = save(asking.select(*key, "cid", "comp"), "asking")
     turns = asking.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("turns"))
     inside = named.join(turns, key).select(*key, _steps("turns").alias("turn"), F.lit(STANDS).alias("kind"), "cid", "comp")
     queries = asking.join(turns, key).select(*key, F.pmod(F.xxhash64("cid"), "turns").alias("turn"), F.lit(ASKS).alias("kind"), "cid", "comp")
-    return _links(inside.unionByName(queries).join(sets, "cid"), [*key, "turn"], percent)
+    behind = inside.unionByName(queries).withColumn("turn", F.col("turn") + 1)
+    return _links(own.unionByName(behind).join(sets, "cid"), [*key, "turn"], percent)
 
 
 def _fits(a: Column, b: Column, percent: int) -> Column:

@@ -127,14 +127,14 @@ def _words(text: str) -> list[str]:
     return [plain(t) for t in text.lower().split()] + PAD
 
 
-def _initial(docs: list[list[str]], y: np.ndarray, rng) -> Model:
+def _initial(rows: list[np.ndarray], parts: np.ndarray, y: np.ndarray, rng) -> Model:
     """Small random values, but the first columns begin with how unevenly a part occurs in the two classes."""
     embedding = rng.normal(0, 0.03, (BUCKETS, WIDTH)).astype(np.float32)
     counts = np.zeros((2, BUCKETS, 1 + len(PREFIXES)), dtype=np.float32)
-    for words, label in zip(docs, y, strict=True):
-        parts = np.array([parts_of(w) for w in set(words)])
-        for k in range(parts.shape[1]):
-            counts[label, np.unique(parts[:, k]), k] += 1
+    for words, label in zip(rows, y, strict=True):
+        own = parts[np.unique(words)]
+        for k in range(own.shape[1]):
+            counts[label, np.unique(own[:, k]), k] += 1
     n = np.array([(y == 0).sum(), (y == 1).sum()], dtype=np.float32)
     both = (counts.sum(axis=0) + 1) / (n.sum() + 2)
     z = (counts[1] / n[1] - counts[0] / n[0]) / np.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]))
@@ -161,17 +161,18 @@ class _Adam:
 def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     """Train on texts; labels has 0 and 1."""
     rng = np.random.default_rng(seed)
-    docs, y = [_words(t) for t in texts], np.array(labels)
-    model = _initial(docs, y, rng)
+    y = np.array(labels)
     known: dict[str, int] = {}
-    rows = [np.array([known.setdefault(w, len(known)) for w in d]) for d in docs]
+    # words as numbers at once: the driver holds each word once, not each time it stands in a text
+    rows = [np.array([known.setdefault(w, len(known)) for w in _words(t)]) for t in texts]
     parts = np.array([parts_of(w) for w in known])
+    model = _initial(rows, parts, y, rng)
     weight = np.where(y == 1, len(y) / (2 * max(1, (y == 1).sum())), len(y) / (2 * max(1, (y == 0).sum())))
     adam = {k: _Adam(v.shape) for k, v in (("w", model.weights), ("b", model.filter_bias), *((s, f) for s, f in enumerate(model.filters)))}
     bias = np.array([model.bias], dtype=np.float32)
     adam_bias = _Adam(1)
     for epoch in range(EPOCHS):
-        order, rate = rng.permutation(len(docs)), RATE * 0.6**epoch
+        order, rate = rng.permutation(len(rows)), RATE * 0.6**epoch
         for k in range(0, len(order), BATCH):
             chosen = order[k : k + BATCH]
             model.bias = float(bias[0])

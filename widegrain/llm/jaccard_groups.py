@@ -7,13 +7,16 @@ Similar classes are partitioned into groups: each class joins the group of the
 least class that it meets in most bands.  A large group is cut into blocks of
 bounded size, its leader standing in every block.  Of a block the union of its
 members' tokens is kept; a class is held against the union, which bounds its
-overlap with every member, and only a block that may qualify is opened and its
-members compared one by one, those aside that are linked with the class already.
+overlap with every member, and only a block that may qualify is opened: whose
+each token is tells the overlap with all members at once, and those that
+qualify are compared, unless they are linked with the class already.
 
 What that links is contracted.  A class may also meet classes of other groups:
-the bands in which several components are left are blocks of like size in the
-same way, and each class is held against the unions of those it meets there.
-Similarities are computed on the whole sets.
+a band in which several components are left is a block too.  A large one is cut
+into tiles of like size, the greater the larger it is, and each class is held
+against those it may be linked with.  Similarities are computed on the whole
+sets.  Rows grow with the power 1.5 of a large band (with its square once
+tiles reach TOKENS), the look-ups inside the tiles with its square.
 
 Two sets at the threshold itself agree on no band with a probability below
 MISS; more alike ones with a smaller one still.  Every pair that meets is
@@ -44,7 +47,7 @@ from .components import components
 BANDS = 50
 #: Chance at most that two sets at the threshold agree on no band.
 MISS = 1e-6
-#: Members of a block of a group and their tokens, as expected of a hash; queries that are held against it in one turn.
+#: Members of a block of a group and tokens of any block, as expected of a hash; queries that are held against it in one turn, and classes of a band that is one block.
 MEMBERS, TOKENS, QUERIES = 64, 4 << 20, 512
 #: Words whose hashes a worker keeps.
 CACHE_WORDS = 400_000
